@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_ngram_jaccard": "op1_ngram_jaccard",
+    "op2_substring_dedup": "op2_substring_dedup",
     "op3_toxicity": "op3_toxicity",
     "op4_exact_dedup": "op4_exact_dedup",
     "op5_sharding": "op5_sharding",
