@@ -43,18 +43,16 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _IN = rb"0-9a-z\x80-\xff"
 
 
-def seeds(notice: str, edits: int) -> list[str]:
-    """edits + 1 disjoint parts of the notice, each within a word; an edit touches at most one of them."""
-    words = sorted(notice.split(), key=len, reverse=True)
-    cuts = {i: 1 for i in range(len(words))}
-    while sum(cuts.values()) < edits + 1:  # cut the word whose parts are longest
-        i = max(cuts, key=lambda k: len(words[k]) / cuts[k])
-        cuts[i] += 1
+def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
+    """edits + 1 disjoint parts of the notice and where they begin, each within a word and as long as can be."""
+    words = [(m[0], m.start()) for m in re.finditer(r"\S+", notice)]
+    size = max(n for n in range(1, len(notice)) if sum(len(w) // n for w, _ in words) > edits)
     parts = []
-    for i, c in cuts.items():
-        bounds = [len(words[i]) * j // c for j in range(c + 1)]
-        parts += [words[i][a:b] for a, b in zip(bounds, bounds[1:])]
-    return sorted(parts, key=len, reverse=True)[: edits + 1]
+    for w, at in sorted(words, key=lambda x: -len(x[0])):
+        c = len(w) // size
+        bounds = [len(w) * j // c for j in range(c + 1)] if c else [0]
+        parts += [(w[x:y], at + x) for x, y in zip(bounds, bounds[1:])]
+    return parts[: edits + 1]
 
 
 class Scanner:
@@ -70,8 +68,7 @@ class Scanner:
         for k, (notice, label, edits) in enumerate(notices):
             body = _GAP.join(map(regex.escape, notice.split()))
             self.patterns.append((label, notice, edits, regex.compile(rf"(?b)(?:{body}){{e<={edits}}}")))
-            for s in seeds(notice, edits):
-                at = notice.index(s)
+            for s, at in seeds(notice, edits):
                 by_seed.setdefault(s, []).append((k, at, len(notice) - at))
         for s, where in by_seed.items():
             self.seeds.add_word(s, (len(s), where))
