@@ -18,6 +18,6 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _sent or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    with tempfile.TemporaryDirectory() as d:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/lobspark", "zip", root, "lobspark"))
+    d = tempfile.mkdtemp(prefix="lobspark-")  # stays: executors fetch the file from the driver when they start
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/lobspark", "zip", root, "lobspark"))
     _sent.add(app)
