@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import partitions, written
+from .store import drop, partitions, written
 from .textnum import U, mix, pieces, shingle_sets, utf8
 
 TILE = 1024  # sets in a tile at most; larger tiles are split into blocks
@@ -311,10 +311,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     # every tile's smallest set with the others, in blocks
     stars = tiles.filter("sid <> first").select("first", "sid").distinct()
-    star = stars.join(held.select("sid", "n", F.col("arr").alias("s")), "sid")
     heavy = stars.join(held.select("sid", "n"), "sid").groupBy("first").agg(F.greatest(F.count("*") / 512, F.sum("n") / (1 << 19)).alias("weight"))
     heavy = written(heavy.withColumn("k", F.greatest(F.lit(1), F.ceil("weight")).cast("long")).select("first", "k"), "stars")
-    spokes = star.join(heavy, "first").select(F.xxhash64("first", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("tile"), F.lit(1).alias("side"), "sid", F.col("sid").alias("comp"), "n", "s")
+    # tiles are found from identifiers alone, so that arrays are shuffled only to their sets and then to their tiles
+    spokes = stars.join(heavy, "first").select(F.xxhash64("first", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("tile"), F.lit(1).alias("side"), "sid", F.col("sid").alias("comp"))
+    spokes = spokes.join(held.select("sid", "n", F.col("arr").alias("s")), "sid").select("tile", "side", "sid", "comp", "n", "s")
     centres = heavy.withColumn("b", F.explode(F.expr("sequence(0L, k - 1)"))).withColumnRenamed("first", "sid").join(held.select("sid", "n", F.col("arr").alias("s")), "sid")
     centres = centres.select(F.xxhash64("sid", "b").alias("tile"), F.lit(0).alias("side"), "sid", F.col("sid").alias("comp"), "n", "s")
     sure = written(tile_links(spokes.unionByName(centres), "sets", percent), "links")
@@ -333,6 +334,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     weight = in_one.groupBy("component").agg(F.greatest(F.count("*") / 512, F.sum("n") / (1 << 19)).alias("weight"))
     exact = blocks(in_one.select("component", "sid", "comp"), "component", weight).join(held.select("sid", "n", F.col("arr").alias("s")), "sid")
     more = written(tile_links(exact, "sets", percent), "links2")
+    for used in (held, tiles, mine):
+        drop(used)
     joined = components(sure.unionByName(more)) if not more.isEmpty() else group
 
     classed = members.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.when(F.col("sid") != 0, F.coalesce("component", "sid")))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a temporary folder only where that is unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +22,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """From here on, the session's queries free their shuffle files when they end; none is read by a later query."""
+    spark.conf.set(CLEANUP, "true")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared root."""
     return f"{shared_root(spark)}/lobspark-{name}-{uuid.uuid4().hex}"
@@ -28,6 +36,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: survives lost executors, cuts lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    tidy(spark)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
