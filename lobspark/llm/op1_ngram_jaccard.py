@@ -8,7 +8,7 @@ also one part that isn't empty agrees; the few sets with more empty parts than r
 
 In a tile, bit counts of hashed bitmaps bound every pair's overlap from above (two sets differ in at least as
 many shingles as their bitmaps in bits); pairs that pass are intersected exactly. To keep work linear for large
-groups of near copies, every tile's smallest set is first compared with the others, in blocks; only tiles that
+groups of near copies, every set is first compared with the smallest set of all its tiles, in blocks; only tiles that
 still hold several components go on to all pairs of blocks, across components only, by bitmaps and then, within
 what bitmaps leave connected, by exact intersection. What is left out is in one component already, so
 components are exact: no pair that could add a link is skipped.
@@ -309,16 +309,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     held = written(plain.join(reps, "i").select("i", "t", "sid").mapInArrow(arrays, "sid long, n long, arr binary, bits binary"), "arrays")
 
-    # every tile's smallest set with the others, in blocks
-    stars = tiles.filter("sid <> first").select("first", "sid").distinct()
+    # each set with the smallest first set of its tiles, in blocks; one comparison a set, so arrays move once
+    stars = tiles.filter("sid <> first").groupBy("sid").agg(F.min("first").alias("first"))
     heavy = stars.join(held.select("sid", "n"), "sid").groupBy("first").agg(F.greatest(F.count("*") / 512, F.sum("n") / (1 << 19)).alias("weight"))
     heavy = written(heavy.withColumn("k", F.greatest(F.lit(1), F.ceil("weight")).cast("long")).select("first", "k"), "stars")
     # tiles are found from identifiers alone, so that arrays are shuffled only to their sets and then to their tiles
     spokes = stars.join(heavy, "first").select(F.xxhash64("first", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("tile"), F.lit(1).alias("side"), "sid", F.col("sid").alias("comp"))
-    spokes = spokes.join(held.select("sid", "n", F.col("arr").alias("s")), "sid").select("tile", "side", "sid", "comp", "n", "s")
-    centres = heavy.withColumn("b", F.explode(F.expr("sequence(0L, k - 1)"))).withColumnRenamed("first", "sid").join(held.select("sid", "n", F.col("arr").alias("s")), "sid")
-    centres = centres.select(F.xxhash64("sid", "b").alias("tile"), F.lit(0).alias("side"), "sid", F.col("sid").alias("comp"), "n", "s")
-    sure = written(tile_links(spokes.unionByName(centres), "sets", percent), "links")
+    centres = heavy.withColumn("b", F.explode(F.expr("sequence(0L, k - 1)"))).select(F.xxhash64("first", "b").alias("tile"), F.lit(0).alias("side"), F.col("first").alias("sid"), F.col("first").alias("comp"))
+    star = spokes.unionByName(centres).join(held.select("sid", "n", F.col("arr").alias("s")), "sid")
+    sure = written(tile_links(star, "sets", percent), "links")
     group = components(sure)
 
     # tiles that still hold several components: bitmaps, then exact
