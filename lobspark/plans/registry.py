@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars, wire
 from ..operators import book, session, stats
-from ..sources import bridge
+from ..sources import bridge, feed
 
 QS = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
@@ -100,6 +103,23 @@ def _nonbook(m: DataFrame) -> DataFrame:
     return a.select(F.col("n").alias("n_all"), F.col("qty").alias("qty_all")).join(b, F.lit(True)).select("n_all", "qty_all", F.col("n").alias("n_book"), F.col("qty").alias("qty_book"))
 
 
+def _through_files(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of feed files that the messages were written to, a file a day."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lobspark-")).rstrip("/")
+    path = f"{root}/lobspark-feed-{uuid.uuid4().hex}"
+    feed.write_feed(feed.encoded(bridge.messages(spark, d)), path)
+    return feed.read_feed(spark, path)
+
+
+def _frame_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _through_files(spark, d).select("trade_date", "off", "len", "type")
+
+
+def _feed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = feed.messages(_through_files(spark, d))
+    return rows.filter(wire.is_book_event(F.col("type"))).select("trade_date", "type", "locate", "ts_ns", "ref", "new_ref", "shares", "price")
+
+
 def queries() -> dict:
     found = {
         "feed_summary": _m(lambda m: stats.feed_summary(_frames(m))),
@@ -139,6 +159,8 @@ def queries() -> dict:
         "hist_buckets": _m(lambda m: stats.histogram(_gaps(m), [], "gap")),
         "hist_stats": _m(lambda m: stats.histogram_stats(_gaps(m), ["type"], "gap").drop("mean")),
         "hist_quantiles": _m(lambda m: stats.quantiles(_gaps(m).withColumn("what", F.lit("all")), ["what"], "gap", QS)),
+        "frame_scan": _frame_scan,
+        "feed_roundtrip": _feed_roundtrip,
         "hist_by_type": _m(lambda m: stats.quantiles(_gaps(m), ["type"], "gap", QS)),
     }
     for t in wire.SIZES:
@@ -232,6 +254,8 @@ SELECT k AS {'what' if by == "'all'" else 'type'}, CAST(max(n_all) AS bigint) AS
         "hist_stats": f"{gaps} SELECT type, count(*) AS n, CAST(sum(gap) AS bigint) AS total, max(gap) AS largest FROM gaps GROUP BY type",
         "hist_quantiles": hist("'all'"),
         "hist_by_type": hist("type"),
+        "frame_scan": f"{m}, {sizes} SELECT trade_date, CAST(coalesce(sum(size + 2) OVER (PARTITION BY trade_date ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS off, CAST(size AS int) AS len, type FROM m JOIN s USING (type)",
+        "feed_roundtrip": f"{m} SELECT trade_date, type, locate, ts_ns, ref, new_ref, shares, CASE WHEN type IN ('A', 'F', 'U', 'C') THEN price END AS price FROM m WHERE type IN {_BOOK}",
     }
     for t in wire.SIZES:
         name = f"{t}_lower" if t.islower() else t
