@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe
+from .store import tidy
 from .textnum import pieces
 
 _made: dict[str, ByteBpe] = {}
@@ -45,6 +46,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
 
+    tidy(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
@@ -59,6 +61,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             out = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode() for t in out], pa.string())], [id_col, "decoded"])
 
+    tidy(encoded.sparkSession)
     return encoded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` long, decoded string")
 
 
@@ -75,6 +78,7 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 sha = lambda x: hashlib.sha256(x).hexdigest()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([sha(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.string()), pa.array(list(map(sha, decoded)), pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    tidy(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

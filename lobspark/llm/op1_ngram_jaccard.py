@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import drop, partitions, written
-from .textnum import U, mix, pieces, shingle_sets, utf8
+from .textnum import HASHED, U, mix, pieces, shingle_sets, utf8
 
 TILE = 1024  # sets in a tile at most; larger tiles are split into blocks
 MANY = np.uint64(1) << np.uint64(63)
@@ -212,7 +212,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        for part in pieces(batch, 1):
+        for part in pieces(batch, 1, HASHED):
             values, bounds = shingle_sets(*utf8(part.column(1)), k)
             yield part, values, bounds, set_ids(values, bounds)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import drop, partitions, written
-from .textnum import SPACES, U, pieces, ragged, run_hashes, utf8, word_bounds, word_hashes
+from .textnum import HASHED, SPACES, U, pieces, ragged, run_hashes, utf8, word_bounds, word_hashes
 
 PHRASE = 12
 FAR = ~U(0)
@@ -92,7 +92,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, HASHED):
                 text = Text(part.column(1), window)
                 at = text.anchors()
                 a, d = text.phrase[at].view(np.int64), part.column(0).to_numpy()[text.row[at]]
@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         2: windows of document d from start n on, with anchor a and window hashes k, not settled here."""
         import ahocorasick
 
-        parts = [p for b in rows for p in pieces(b, 4)]
+        parts = [p for b in rows for p in pieces(b, 4, HASHED)]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         phrases: list[int] = []
         seen: set[int] = set()

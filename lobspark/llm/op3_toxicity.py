@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import tidy
 from .textnum import pieces
 
 ORDER, DECAY, FLOOR, SCREEN, POWER = 3, 0.6, 0.45, 0.7, 3
@@ -332,6 +333,7 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 score = scorer.score(texts) if scorer else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], [id_col, "score"])
 
+    tidy(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` long, score double")
     return scored.select(id_col, F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -350,6 +352,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 keep = scorer.score([t or "" for t in part.column(at).to_pylist()]) < 0.5
                 yield part.filter(pa.array(keep))
 
+    tidy(spark)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op9_packing import vocabulary, with_end, word_bpe
-from .store import partitions, scratch
+from .store import partitions, scratch, tidy
 from .textnum import pieces
 
 BATCH = 256  # sequences in a record batch
@@ -85,6 +85,7 @@ def write_token_files(docs: DataFrame, path: str, url: str, length: int = 2048,
         yield pa.RecordBatch.from_pydict({"part": [part_no], "tokens": [total], "sequences": [sequences]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("sequences", pa.int64())]))
 
     ordered = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).repartitionByRange(parts or max(2, partitions(spark)), "i").sortWithinPartitions("i")
+    tidy(docs.sparkSession)
     made = ordered.mapInArrow(run, "part int, tokens long, sequences long")
     rows = sorted(tuple(r) for r in made.collect())  # one row for each file
     with fs.open_output_stream(f"{root}/manifest.json") as out:

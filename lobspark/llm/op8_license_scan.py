@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import tidy
 from .textnum import LOWER, NOT_ALNUM, pieces, utf8, word_bounds
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -151,6 +152,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, notices=NOTICES,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["a"], pa.int64()), pa.array(out["z"], pa.int64()), pa.array(out["b"], pa.string()), pa.array(out["l"], pa.string()), pa.array(out["s"], pa.float64()), pa.array(out["spans"], span)], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     schema = f"`{id_col}` long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int,edits:int>>"
+    tidy(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 

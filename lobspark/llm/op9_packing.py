@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import WordBpe
 from .op10_bpe import vocabulary
-from .store import written
+from .store import tidy, written
 from .textnum import pieces
 
 _made: dict[str, WordBpe] = {}
@@ -54,6 +54,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(n, pa.int64()), pa.array(np.full(len(n), part_no, np.int32)), pa.array(before + ends - n, pa.int64())], ["i", "ids", "n", "part", "before"])
                 before += int(ends[-1])
 
+    tidy(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "i long, ids binary, n long, part int, before long")
 
 

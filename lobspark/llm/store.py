@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that Spark hands to Python. Counted in rows alone, 10,000 texts make a batch of any size.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,8 +25,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def tidy(spark: SparkSession) -> None:
-    """From here on, the session's queries free their shuffle files when they end; none is read by a later query."""
+    """From here on, the session's queries free their shuffle files when they end (none is read by a later query),
+    and Python gets batches of bounded size."""
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

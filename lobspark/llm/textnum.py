@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text is worked on alone.
 CHUNK = 1 << 21
+#: The same where every byte gets 64-bit hashes: a worker holds some ten arrays of eight times as many bytes.
+HASHED = 1 << 19
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _P_INV, _Q_INV = pow(_P, -1, 1 << 64), pow(_Q, -1, 1 << 64)
@@ -47,7 +49,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.cumprod(np.full(max(n, 1 << 16), base, U), dtype=U)
-        if n > 2 * CHUNK:  # one very long text; its table isn't kept
+        if n > 2 * HASHED:  # one very long text; its table isn't kept
             return out
         have = _powers[base] = out
     return have[:n]
