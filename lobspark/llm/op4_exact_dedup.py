@@ -7,8 +7,10 @@ smallest and the largest normalised text must be one text. Digests that fail thi
 
 Texts are equal when identical after deleting `[\\x20\\x09-\\x0D]`. Of equal texts the row with the most code
 points in its original text stays, then the smallest identifier. Null text counts as empty, and so equals texts
-of white space only. Rows that repeat an identifier count each; with the winner's identifier, each is marked
-kept. A null identifier loses to any other. An empty table gives an empty result. Other columns are ignored.
+of white space only. Rows are judged one by one, by their own texts; rows that repeat an identifier count each.
+As in the SQL, `kept` tells whether a row has the winner's identifier, so rows that repeat it are each marked; of
+these `stage` lets one stay. A null identifier loses to any other. An empty table gives an empty result. Other
+columns are ignored.
 A hot digest is aggregated in the map tasks before any shuffle; the join back is one Spark can split.
 """
 
@@ -26,32 +28,81 @@ def _best(length: str, ident: str):
     return F.max(F.struct(F.col(length), (-F.col(ident)).alias("neg")))
 
 
+class _Index:
+    """Digests of all rows, groups by digest, and groups of the digests that several texts share.
+
+    rows: i, n, t, d; runs: i, n, d; index: d, n, keep, g; apart: the same with the text t, None without such digests.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        spark = docs.sparkSession
+        self.rows = _rows(docs, id_col, text_col)
+        path = scratch(spark, "runs")
+        flushed = self.rows.select("i", "n", "d").sortWithinPartitions("d")
+        flushed.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#d": "true"}).parquet(path)
+        self.runs = spark.read.schema(flushed.schema).parquet(path)
+        # compaction: one entry for each digest
+        self.index = written(_merged(self.runs, "d"), "compacted")
+        texts = self.rows.join(self.index.filter("g > 1").select("d"), "d", "left_semi")
+        # by the digest's bytes, another key than the join's, so that Spark may split a hot digest there
+        told = texts.groupBy(F.unhex("d").alias("k")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        self.wrong = written(told.filter("lo <> hi").select(F.lower(F.hex("k")).alias("d")), "unequal")
+        self.apart = None
+        if not self.wrong.isEmpty():  # texts that differ share a digest
+            self.apart = written(_merged(self.rows.join(self.wrong, "d", "left_semi"), "d", "t"), "apart")
+            self.index = self.index.join(self.wrong, "d", "left_anti")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*also, F.col(id_col).cast("long").alias("i"), F.length(text).alias("n"), F.regexp_replace(text, SPACE, "").alias("t"))
+    return rows.withColumn("d", F.sha2("t", 256))
+
+
+def _merged(rows: DataFrame, *by: str) -> DataFrame:
+    best = rows.groupBy(*by).agg(_best("n", "i").alias("b"), F.count("*").alias("g"))
+    return best.select(*by, F.col("b.n").alias("n"), (-F.col("b.neg")).alias("keep"), "g")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 of every row of `docs`."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.length(text).alias("n"), F.regexp_replace(text, SPACE, "").alias("t"))
-    path = scratch(spark, "runs")
-    flushed = rows.select("i", "n", F.sha2("t", 256).alias("d")).sortWithinPartitions("d")
-    flushed.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#d": "true"}).parquet(path)
-    runs = spark.read.schema(flushed.schema).parquet(path)
-    # compaction: one entry for each digest
-    index = written(runs.groupBy("d").agg(_best("n", "i").alias("b"), F.count("*").alias("g")).select("d", (-F.col("b.neg")).alias("keep"), "g"), "compacted")
-    hits = runs.select("i", "d").join(index.filter("g > 1").select("d"), "d", "left_semi")
-    texts = rows.join(hits.select(F.col("i").alias("hit"), "d"), F.col("i").eqNullSafe(F.col("hit"))).select("i", "n", "t", "d")
-    wrong = written(texts.groupBy("d").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("d"), "unequal")
-    out = runs.select("i", "d").join(index, "d").select("i", "keep", "g", "d")
-    if not wrong.isEmpty():  # texts that differ share a digest
-        apart = texts.join(wrong, "d")
-        best = apart.groupBy("d", "t").agg(_best("n", "i").alias("b"), F.count("*").alias("g")).select("d", "t", (-F.col("b.neg")).alias("keep"), "g")
-        out = out.join(wrong, "d", "left_anti").unionByName(apart.select("i", "d", "t").join(best, ["d", "t"]).select("i", "keep", "g", "d"))
+    x = _Index(docs, id_col, text_col)
+    out = x.runs.select("i", "d").join(x.index.select("d", "keep", "g"), "d").select("i", "keep", "g", "d")
+    if x.apart is not None:
+        out = out.unionByName(x.rows.select("i", "d", "t").join(x.apart.select("d", "t", "keep", "g"), ["d", "t"]).select("i", "keep", "g", "d"))
     return out.select(F.col("i").alias(id_col), F.col("keep").alias("keep_id"), F.col("g").alias("group_size"), F.col("i").eqNullSafe(F.col("keep")).alias("kept"), F.col("d").alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """The documents that stay, with their columns: exactly one row of every group."""
+    x = _Index(docs, "doc_id", "text")
+    whole = _rows(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), "doc_id", "text", "row")
+
+    def winners(index: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+        """The groups' winners; c: the rows that are alike in identifier, length and `by`."""
+        best = index.select(*by, F.col("n").alias("n_"), F.col("keep").alias("keep_"))
+        same = rows.join(best, by).filter(F.col("i").eqNullSafe(F.col("keep_")) & (F.col("n") == F.col("n_")))
+        return written(same.groupBy(*by, "n_", "keep_").agg(F.count("*").alias("c")), "winners")
+
+    def taken(won: DataFrame, by: list[str]) -> DataFrame:
+        r, w = whole.alias("r"), won.alias("w")
+        on = F.col("r.i").eqNullSafe(F.col("w.keep_")) & (F.col("r.n") == F.col("w.n_"))
+        for c in by:
+            on = on & (F.col(f"r.{c}") == F.col(f"w.{c}"))
+        return r.join(w, on, "left_semi")
+
+    parts = [(winners(x.index, x.runs, ["d"]), ["d"])]
+    if x.apart is not None:
+        parts.append((winners(x.apart, x.rows, ["d", "t"]), ["d", "t"]))
+    out = None
+    for won, by in parts:
+        found = [taken(won.filter("c = 1"), by).select("row")]
+        tied = won.filter("c > 1")
+        if not tied.isEmpty():  # rows repeated with their identifier: any one of them
+            found.append(taken(tied, by).groupBy(*by).agg(F.first("row").alias("row")).select("row"))
+        for f in found:
+            out = f if out is None else out.unionByName(f)
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

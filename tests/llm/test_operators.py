@@ -154,6 +154,32 @@ def test_exact_dedup(spark, docs, rows):
     assert exact_dedup(empty(spark)).count() == 0
 
 
+def test_exact_dedup_repeated_ids(spark, monkeypatch):
+    """Repeated and null identifiers, with equal and with different texts; then with digests that collide."""
+    from pyspark.sql import functions as F
+
+    from lobspark.llm.op4_exact_dedup import exact_dedup, stage
+
+    data = [(7, "a b"), (7, "ab"), (7, "c"), (8, "c"), (9, "ab"), (None, "x"), (None, "y"), (None, " x"), (3, "y"), (5, "z"), (5, "z"), (5, "z"), (None, None), (None, "")]
+    data = [(*r, k) for k, r in enumerate(data)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, k int").repartition(3)
+    groups = {}
+    for i, t, _ in data:
+        groups.setdefault((t or "").replace(" ", ""), []).append((-len(t or ""), i is None, i))
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want = sorted(((i, min(g)[2], len(g), i == min(g)[2]) for g in groups.values() for _, _, i in g), key=key)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(F, "sha2", lambda c, bits: F.lit("00" * 32))
+        out = exact_dedup(docs).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out), key=key) == want
+        assert collide or {r["text_sha256"] for r in out} == {hashlib.sha256(t.encode()).hexdigest() for t in groups}
+        left = stage(spark, docs, "").collect()
+        assert sorted((r["text"] or "").replace(" ", "") for r in left) == sorted(groups)
+        assert all((r["doc_id"], r["text"], r["k"]) in data for r in left)
+        assert all((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"]) == min(groups[(r["text"] or "").replace(" ", "")]) for r in left)
+
+
 def test_sharding(spark):
     from lobspark.llm.op5_sharding import balanced_shards
 
