@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import drop, partitions, written
 from .textnum import HASHED, SPACES, U, pieces, ragged, run_hashes, utf8, word_bounds, word_hashes
@@ -79,14 +80,21 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("d"), F.lit(shards)).cast("int")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 24, digest: bool = False) -> DataFrame:
-    """id, n_words, n_removed and the kept text (or only its sha256, as kept_sha256) of every row."""
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 24, digest: bool = False, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """id, n_words, n_removed and the kept text (or only its sha256, as kept_sha256) of every row, and the columns `carry`.
+
+    as_is: a text that loses nothing keeps its white space; null stays null.
+    """
     spark = docs.sparkSession
+    name = "kept_sha256" if digest else text_col
     if window < PHRASE:
         raise ValueError(f"a window has at least {PHRASE} words")
     p = partitions(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    plain = plain.withColumn("d", F.coalesce("i", F.lit(NONE)))
+    ident = F.col(id_col).cast("long")
+    # i goes with its row's text through all steps: rows are never joined by identifier
+    row = F.struct(ident.alias("id"), F.col(text_col).isNull().alias("null"), F.struct(*carry).alias("also")) if carry or as_is else ident
+    plain = docs.select(row.alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.coalesce(ident, F.lit(NONE)).alias("d"))
+    kind_i = plain.schema["i"].dataType
     volume = plain.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     shards = int(max(p, -(-volume // shard_bytes)))
 
@@ -108,11 +116,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     found = plain.select("d", "t", shard_of(shards).alias("s")).mapInArrow(anchors, "a long, s int, lo long, hi long")
     local = written(found.groupBy("a", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "anchors")
     recurring = local.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("a")
-    told = local.select("a", "s").join(recurring, "a").select("s", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("i"), F.lit(None).cast("string").alias("t"))
+    told = local.select("a", "s").join(recurring, "a").select("s", F.lit(0).alias("kind"), "a", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
     held = plain.select(shard_of(shards).alias("s"), F.lit(1).alias("kind"), F.col("d").alias("a"), "i", "t")
     dealt = told.unionByName(held).repartition(shards, "s").sortWithinPartitions("s", "kind", "a")
-    schema = "kind int, u long, i long, d long, a long, n long, k binary, t string"
-    types = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("i", pa.int64()), ("d", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("t", pa.string())])
+    schema = T.StructType([T.StructField(c, k) for c, k in (("kind", T.IntegerType()), ("u", T.LongType()), ("i", kind_i), ("d", T.LongType()), ("a", T.LongType()), ("n", T.LongType()), ("k", T.BinaryType()), ("t", T.StringType()))])
 
     def shard(no: int, known: np.ndarray, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: settled row (n words, t text or digest). 1: row with candidates (text t, starts settled here k).
@@ -120,6 +127,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         import ahocorasick
 
         parts = [p for b in rows for p in pieces(b, 4, HASHED)]
+        type_i = parts[0].schema.field(3).type
+        types = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("i", type_i), ("d", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("t", pa.string())])
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         phrases: list[int] = []
         seen: set[int] = set()
@@ -162,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             loose = np.flatnonzero(~touched)
             if len(loose):
                 strings = part.column(4).take(pa.array(loose)).to_pylist()
-                joined = [b" ".join(t.encode().split()) for t in strings]
+                joined = [t.encode() if as_is else b" ".join(t.encode().split()) for t in strings]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(loose), np.int32)), pa.nulls(len(loose), pa.int64()), part.column(3).take(pa.array(loose)), pa.nulls(len(loose), pa.int64()), pa.nulls(len(loose), pa.int64()), pa.array(text.count[loose]), pa.nulls(len(loose), pa.binary()), pa.array([hashlib.sha256(j).hexdigest() if digest else j.decode() for j in joined], pa.string())], schema=types)
             base += rows_here
         a, w, r, s = (np.concatenate(x) for x in zip(*kept))
@@ -194,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             m = len(c)
             bounds = np.concatenate([[0], np.cumsum(8 * z)]).astype(np.int32)
             block = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(w[c[0] : c[0] + int(z.sum())].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(no * (1 << 32) + r[c]), pa.nulls(m, pa.int64()), pa.array(doc[r[c]]), pa.array(a[c].view(np.int64)), pa.array(s[c].astype(np.int64)), block, pa.nulls(m, pa.string())], schema=types)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(no * (1 << 32) + r[c]), pa.nulls(m, type_i), pa.array(doc[r[c]]), pa.array(a[c].view(np.int64)), pa.array(s[c].astype(np.int64)), block, pa.nulls(m, pa.string())], schema=types)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, known, rows = None, [], []
@@ -255,15 +264,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             yield done(held)
 
     windows = scanned.filter("kind = 2").select("a", "d", "u", "n", "k").repartition(p, "a").sortWithinPartitions("a", "d")
-    late = windows.mapInArrow(settle, "u long, k binary").select("u", F.lit(0).alias("kind"), "k", F.lit(None).cast("long").alias("i"), F.lit(None).cast("string").alias("t"))
+    late = windows.mapInArrow(settle, "u long, k binary").select("u", F.lit(0).alias("kind"), "k", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
     open_rows = scanned.filter("kind = 1").select("u", "kind", "k", "i", "t")
-    result = f"`{id_col}` long, n_words long, n_removed long, {'kept_sha256' if digest else text_col} string"
+    result = T.StructType([T.StructField("i", kind_i), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("t", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, starts = None, []
         for batch in batches:  # sorted by row, starts before the row itself
             out = ([], [], [], [])
-            for u, kind, k, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for at_row, (u, kind, k, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
                 if u != mine:
                     mine, starts = u, []
                 starts.append(np.frombuffer(k, np.int32))
@@ -275,23 +284,29 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
                 gone = np.cumsum(cover)[:-1] > 0
-                text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                for column, value in zip(out, (i, len(words), int(gone.sum()), hashlib.sha256(text).hexdigest() if digest else text.decode())):
+                text = t.encode() if as_is and not gone.any() else b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                for column, value in zip(out, (at_row, len(words), int(gone.sum()), hashlib.sha256(text).hexdigest() if digest else text.decode())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], [id_col, "n_words", "n_removed", "kept_sha256" if digest else text_col])
+            made = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(made[0]), *made[1:]], ["i", "n_words", "n_removed", "t"])
 
     changed = late.unionByName(open_rows).repartition(p, "u").sortWithinPartitions("u", "kind").mapInArrow(cut, result)
-    same = scanned.filter("kind = 0").select(F.col("i").alias(id_col), F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("t").alias("kept_sha256" if digest else text_col))
-    return changed.unionByName(same)
+    same = scanned.filter("kind = 0").select("i", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "t")
+    out = changed.unionByName(same)
+    if not carry and not as_is:
+        return out.select(F.col("i").alias(id_col), "n_words", "n_removed", F.col("t").alias(name))
+    text = F.when(F.col("i.null"), F.lit(None)).otherwise(F.col("t")) if as_is and not digest else F.col("t")
+    return out.select(F.col("i.id").alias(id_col), "n_words", "n_removed", text.alias(name), *[F.col(f"i.also.{c}").alias(c) for c in carry])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with what is left of their texts; a text that loses nothing stays as it is."""
-    kept = remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("__i"), F.col("text").alias("__t"))
-    out = docs.join(kept, F.col("doc_id") == F.col("__i"), "left")
-    text = F.coalesce("__t", "text")
-    new = {"text": text, "n_chars": F.when(F.col("__i").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    # the row's own columns go along under other names, its identifier in its own type too
+    named = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    plain = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in named.items() if c != "doc_id"], F.col("doc_id").alias(named["doc_id"]))
+    out = remove_repeats(plain, carry=tuple(named.values()), as_is=True)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col(named["n_chars"])).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[(new[c] if c in new else F.col(named[c])).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,19 @@ def test_substring_dedup(spark, docs, rows):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_substring_dedup_stage_repeated_ids(spark, rows):
+    """Every row comes back once, with its own columns and text, whatever identifiers repeat or are null."""
+    from lobspark.llm.op2_substring_dedup import stage
+
+    passage = " ".join(f"p{k}" for k in range(55))
+    data = [(1, f"one  {passage}", "a"), *((9, f"{w} {passage}\n{w}", w) for w in ("x", "y", "z")), (9, "own  text", "q"), (9, None, "n"), (None, f"null {passage}", "u"), (None, "", "v")]
+    docs = spark.createDataFrame([(i, t, s, None if t is None else len(t)) for i, t, s in data], "doc_id long, text string, source string, n_chars int")
+    out = stage(spark, docs.repartition(3), "")
+    want = [(1, "one", "a", 3), *((9, f"{w} {w}", w, 3) for w in "xyz"), (9, "own  text", "q", 9), (9, None, "n", None), (None, f"null {passage}", "u", len(passage) + 5), (None, "", "v", 0)]
+    key = lambda r: r[2]
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key) and out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
 def test_toxicity(spark):
     from lobspark.llm.op3_toxicity import fit, fold, toxicity
 
