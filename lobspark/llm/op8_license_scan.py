@@ -5,7 +5,8 @@ phrases are counted at every place where their words stand consecutively. A noti
 `edits` insertions, deletions and substitutions: it is split into edits + 1 parts, one of which must then stand
 unchanged (pigeonhole), an automaton finds all parts in the whole text, and around every hit the regex library's
 bounded-error matching verifies the notice and reports span and edits. Parts lie within words, as white space
-and marks between words may differ freely; splits that would cross a word are moved to its bounds.
+and marks between words may differ freely; splits that would cross a word are moved to its bounds. Notices are
+sought in the text with every such gap as one space, whatever its length (so a gap within a word is one edit).
 
 A map over Arrow batches without shuffle. Null text counts as empty: no words, no labels, score 0. Rows keep
 null and repeated identifiers; other columns are ignored; an empty table gives an empty result. Score: 1 with a
@@ -40,10 +41,19 @@ NOTICES = (
     ("all rights reserved", "reserved", 2),
     ("spdx license identifier", "spdx", 2),
 )
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _IN = rb"0-9a-z\x80-\xff"
 
 
+def one_space(lowered: str) -> tuple[str, np.ndarray]:
+    """The text with every gap between words as one space, and where its characters stood."""
+    chars = np.frombuffer(lowered.encode("utf-32-le"), np.uint32)
+    gap = (chars < 128) & NOT_ALNUM[np.minimum(chars, 127)]
+    keep = ~gap
+    keep[:1] = True
+    keep[1:] |= ~gap[:-1]
+    return np.where(gap, np.uint32(32), chars)[keep].tobytes().decode("utf-32-le"), np.flatnonzero(keep)
+
+
 def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
     """edits + 1 disjoint parts of the notice and where they begin, each within a word and as long as can be."""
     words = [(m[0], m.start()) for m in re.finditer(r"\S+", notice)]
@@ -67,7 +77,7 @@ class Scanner:
         self.patterns, self.seeds = [], ahocorasick.Automaton()
         by_seed: dict[str, list[tuple[int, int, int]]] = {}
         for k, (notice, label, edits) in enumerate(notices):
-            body = _GAP.join(map(regex.escape, notice.split()))
+            body = " ".join(map(regex.escape, notice.split()))
             self.patterns.append((label, notice, edits, regex.compile(rf"(?b)(?:{body}){{e<={edits}}}")))
             for s, at in seeds(notice, edits):
                 by_seed.setdefault(s, []).append((k, at, len(notice) - at))
@@ -77,31 +87,40 @@ class Scanner:
 
     def notices(self, lowered: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of each notice found; spans of one notice don't overlap."""
+        hits = list(self.seeds.iter(lowered))
+        if not hits:
+            return []
+        text, place = one_space(lowered)
+        ends = np.searchsorted(place, [end for end, _ in hits]).tolist()  # seeds lie within words
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, where) in self.seeds.iter(lowered):
+        for end, (_, (size, where)) in zip(ends, hits):
             start = end - size + 1
             for k, before, after in where:
-                room = 2 * self.patterns[k][2] + 24  # marks between words may be longer than one space
+                room = 2 * self.patterns[k][2]  # a match's bounds move by its edits at most
                 windows.setdefault(k, []).append((max(0, start - before - room), start + after + room))
         found = []
         for k, spans in windows.items():
-            label, notice, edits, pattern = self.patterns[k]
-            # of a true notice at least one part is exact; of a typical chance hit the others are far away
+            label = self.patterns[k][0]
             merged: list[list[int]] = []
             for a, b in sorted(spans):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            letters = {c: notice.count(c) for c in set(notice) - {" "}}
             for a, b in merged:
-                window = lowered[a:b]
-                if sum(max(0, n - window.count(c)) for c, n in letters.items()) > edits:
-                    continue  # more letters are missing than edits could replace
-                for m in pattern.finditer(window):
-                    found.append((label, a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+                for start, end, n in sorted(self.matches(k, text, a, min(b, len(text)))):
+                    found.append((label, int(place[start]), int(place[end - 1]) + 1, n))
         return found
 
+    def matches(self, k: int, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, edits) of notice k in text[a:b]."""
+        _, notice, edits, best = self.patterns[k]
+        letters = {c: notice.count(c) for c in set(notice) - {" "}}
+        if sum(max(0, n - text.count(c, a, b)) for c, n in letters.items()) > edits:
+            return  # more letters are missing than edits could replace
+        for m in best.finditer(text, a, b):
+            yield m.start(), m.end(), sum(m.fuzzy_counts)
+
 
 _made: dict = {}
 

@@ -287,6 +287,19 @@ def test_license_scan(spark, rows):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_license_scan_long_gaps(spark):
+    """Gaps of any length between words, with spans in the text's own characters."""
+    from lobspark.llm.op8_license_scan import license_scan
+
+    gap = "\n#" + 40 * " "
+    data = [(0, f"é all rigts{gap}resrved"), (1, f"al{gap * 50}rights reservd."), (2, f"{gap}gnu  {gap}generl public licence"), (3, f"all{gap}rights")]
+    out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [out[i]["labels"] for i in range(4)] == ["reserved", "reserved", "gpl", ""]
+    (x,), (y,) = out[0]["spans"], out[1]["spans"]
+    assert data[0][1][x["start"] : x["end"]] == f"all rigts{gap}resrved" and x["edits"] == 2
+    assert data[1][1][y["start"] : y["end"]] == f"al{gap * 50}rights reservd" and y["edits"] == 2
+
+
 def test_packing(spark, rows):
     from lobspark.llm.op9_packing import pack
     from lobspark.llm.op10_bpe import vocabulary
