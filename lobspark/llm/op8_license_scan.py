@@ -78,7 +78,7 @@ class Scanner:
         by_seed: dict[str, list[tuple[int, int, int]]] = {}
         for k, (notice, label, edits) in enumerate(notices):
             body = " ".join(map(regex.escape, notice.split()))
-            self.patterns.append((label, notice, edits, regex.compile(rf"(?b)(?:{body}){{e<={edits}}}")))
+            self.patterns.append((label, notice, edits, *(regex.compile(rf"{how}(?:{body}){{e<={edits}}}") for how in ("", "(?b)"))))
             for s, at in seeds(notice, edits):
                 by_seed.setdefault(s, []).append((k, at, len(notice) - at))
         for s, where in by_seed.items():
@@ -113,13 +113,21 @@ class Scanner:
         return found
 
     def matches(self, k: int, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        """(start, end, edits) of notice k in text[a:b]."""
-        _, notice, edits, best = self.patterns[k]
+        """(start, end, edits) of notice k in text[a:b], until none within the bound is left."""
+        _, notice, edits, some, best = self.patterns[k]
         letters = {c: notice.count(c) for c in set(notice) - {" "}}
-        if sum(max(0, n - text.count(c, a, b)) for c, n in letters.items()) > edits:
-            return  # more letters are missing than edits could replace
-        for m in best.finditer(text, a, b):
+        left = [(a, b)]
+        while left:
+            a, b = left.pop()
+            if b - a < len(notice) - edits or sum(max(0, n - text.count(c, a, b)) for c, n in letters.items()) > edits:
+                continue  # more letters are missing than edits could replace
+            first = some.search(text, a, b)
+            if not first:
+                continue
+            # the best match near the first one; poorer ones before and after it count too
+            m = best.search(text, first.start(), min(b, first.start() + len(notice) + 2 * edits)) or first
             yield m.start(), m.end(), sum(m.fuzzy_counts)
+            left += [(m.end(), b), (a, m.start())]
 
 
 _made: dict = {}

@@ -300,6 +300,16 @@ def test_license_scan_long_gaps(spark):
     assert data[1][1][y["start"] : y["end"]] == f"al{gap * 50}rights reservd" and y["edits"] == 2
 
 
+def test_license_scan_all_spans():
+    """Misspelt notices before a better one are reported, and a best match isn't widened by its neighbours."""
+    from lobspark.llm.op8_license_scan import BASE, NOTICES, Scanner
+
+    said = ["all rigts resrved", "all rights reserved", "al rights reserved", "all rights resevd", "all rights reserved"]
+    text = " yy zz ".join(said)
+    found = [f for f in Scanner(BASE, NOTICES).notices(text) if f[0] == "reserved"]
+    assert [text[a:z] for _, a, z, _ in found] == said and [e for *_, e in found] == [2, 0, 1, 2, 0]
+
+
 def test_packing(spark, rows):
     from lobspark.llm.op9_packing import pack
     from lobspark.llm.op10_bpe import vocabulary
