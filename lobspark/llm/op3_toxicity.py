@@ -1,9 +1,11 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Kernel: the gap-weighted subsequence kernel of order 3 (decay 0.6 for every character spanned), normalised, of
-two words; shares of common subsequences survive inserted characters and gaps. A word is compared with a landmark
-only if it holds at least SCREEN of the landmark's distinct characters, and values below FLOOR count as 0: both
-are part of the kernel's definition. Runs of three or more single letters are read as one word too.
+two words; shares of common subsequences survive inserted characters and gaps. It is summed over all common
+subsequences of every word and landmark; values below FLOOR count as 0. The norm of a word of n characters is at
+least that of n different ones, which proves many values to be below FLOOR before the norm is known; nothing else
+is screened. Runs of three or more single letters are read as one word, and two neighbouring words of a sentence
+with together at most as many letters as the longest landmark also as one.
 
 Training, on the driver: at most `sample` labelled documents of each class and of at most `max_bytes` bytes
 (documented bounds; rows in order of a hash of the identifier), never from the held-out fold. Words that toxic
@@ -25,7 +27,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .store import tidy
 from .textnum import pieces
 
-ORDER, DECAY, FLOOR, SCREEN, POWER = 3, 0.6, 0.45, 0.7, 3
+ORDER, DECAY, FLOOR, POWER = 3, 0.6, 0.15, 3
 WIDTH = 24  # longer words are compared in overlapping pieces of this length
 
 
@@ -52,34 +55,11 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint32).reshape(len(words), width).astype(np.int32), n
 
 
-def kernel(chars: np.ndarray, word: str) -> np.ndarray:
-    """Gap-weighted subsequence kernel of every row of `chars` with `word`, not normalised."""
-    t = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int32)
-    n, width = chars.shape
-    lam = np.float32(DECAY)
-    same = [chars == c for c in t]  # padding equals no character
-    # prev[j][k]: order-i sums ending anywhere before row position k and before word position j, decayed to there
-    prev = [np.ones((n, width + 1), np.float32) for _ in range(len(t) + 1)]
-    for _ in range(ORDER - 1):
-        now = [np.zeros((n, width + 1), np.float32)]
-        for j in range(len(t)):
-            ext = np.zeros((n, width + 1), np.float32)
-            hit = np.where(same[j], prev[j][:, :-1] * lam * lam, 0)
-            for k in range(width):
-                ext[:, k + 1] = lam * ext[:, k] + hit[:, k]
-            now.append(lam * now[-1] + ext)
-        prev = now
-    total = np.zeros(n, np.float32)
-    for j in range(len(t)):
-        total += np.where(same[j], prev[j][:, :-1], 0).sum(1) * lam * lam
-    return total
-
-
-def pairs(chars: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Columns of pair codes (1024 classes) at distances 1 .. reach, and where both characters are there."""
-    kind = np.where((chars >= 97) & (chars <= 122), chars - 97, 26 + chars % 6)
-    for d in range(1, min(reach, chars.shape[1] - 1) + 1):
-        yield kind[:, :-d] * 32 + kind[:, d:], chars[:, d:] > 0
+@cache
+def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All positions i < j < k of n characters, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER).T
+    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
 
 
 class Words:
@@ -87,17 +67,28 @@ class Words:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        marks, _ = codes(landmarks)
-        (code, there), = pairs(marks, 1)
-        kinds = np.unique(code[there])
-        self.column = np.zeros(1024, np.int64)
-        self.column[kinds] = np.arange(1, len(kinds) + 1)  # column 0: pairs of no landmark
-        self.holds = np.zeros((len(kinds) + 1, len(landmarks)), np.float32)
-        for m in range(len(landmarks)):
-            self.holds[self.column[code[m][there[m]]], m] = 1
-        self.holds[0] = 0
-        self.need = np.ceil(SCREEN * self.holds.sum(0) - 1e-6)
-        self.self = np.array([kernel(codes([w])[0], w)[0] for w in landmarks])
+        self.alphabet = np.array(sorted({ord(c) for w in landmarks for c in w}), np.int32)
+        self.kinds = len(self.alphabet) + 1  # kind 0: characters of no landmark
+        features: list[dict[int, float]] = []
+        for w in landmarks:
+            (i, j, k), weight = triples(len(w))
+            c = self._kinds(codes([w])[0])[0]
+            of: dict[int, float] = {}
+            for code, v in zip(((c[i] * self.kinds + c[j]) * self.kinds + c[k]).tolist(), weight.tolist()):
+                of[code] = of.get(code, 0.0) + v
+            features.append(of)
+        known = sorted(set().union(*features))
+        self.place = np.zeros(self.kinds**3, np.int32)
+        self.place[known] = np.arange(1, len(known) + 1)  # row 0: subsequences of no landmark
+        self.phi = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+        for m, of in enumerate(features):
+            norm = math.sqrt(sum(v * v for v in of.values()))
+            for code, v in of.items():
+                self.phi[self.place[code], m] = v / norm
+
+    def _kinds(self, chars: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == chars, at + 1, 0)
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -111,24 +102,21 @@ class Words:
         by_len: dict[int, list[int]] = {}
         for k, p in enumerate(parts):
             by_len.setdefault(len(p), []).append(k)
-        for ks in (ks[at : at + 8192] for ks in by_len.values() for at in range(0, len(ks), 8192)):
-            chars, _ = codes([parts[k] for k in ks])
-            who = np.array([owner[k] for k in ks])
-            held = np.zeros((len(ks), len(self.holds)), np.float32)
-            line = np.arange(len(ks))[:, None]
-            for code, there in pairs(chars, 3):
-                held[line, np.where(there, self.column[code], 0)] = 1
-            near_any = held @ self.holds >= self.need
-            some = np.flatnonzero(near_any.any(1))
-            if not len(some):
-                continue
-            chars, who, near_any = chars[some], who[some], near_any[some]
-            own = self._norms(chars)
-            for m in np.flatnonzero(near_any.any(0)).tolist():
-                near = np.flatnonzero(near_any[:, m])
-                k = kernel(chars[near], self.landmarks[m]) / np.sqrt(own[near] * self.self[m] + 1e-12)
-                k[k < FLOOR] = 0
-                np.maximum.at(out[:, m], who[near], k**POWER)
+        for n, all_ks in by_len.items():
+            (i, j, l), weight = triples(n)
+            step = max(16, 30_000 // len(weight))
+            least = FLOOR * math.sqrt(float((weight.astype(np.float64) ** 2).sum())) * 0.999
+            for ks in (all_ks[at : at + step] for at in range(0, len(all_ks), step)):
+                chars, _ = codes([parts[k] for k in ks])
+                c = self._kinds(chars)
+                place = self.place[(c[:, i] * self.kinds + c[:, j]) * self.kinds + c[:, l]]
+                value = np.matmul(weight, self.phi[place])
+                near = np.flatnonzero(value.max(1) >= least)
+                if not len(near):
+                    continue
+                value = value[near] / np.sqrt(self._norms(chars[near]))[:, None]
+                value[value < FLOOR] = 0
+                np.maximum.at(out, np.array([owner[ks[r]] for r in near.tolist()]), value**POWER)
         return out
 
     @staticmethod
@@ -165,7 +153,13 @@ def tokens(text: str) -> list[str]:
     return out + (["".join(run)] if len(run) > 2 else run)
 
 
-def sentences(words: list[str], stops: set[int]) -> Iterator[list[str]]:
+def together(words: list[str], most: int) -> list[str]:
+    """Of every word but the last: it and its neighbour as one, "" where they are too long or a sentence ends."""
+    bare = [plain(w)[1:-1] for w in words]
+    return ["" if a[-1] in ".!?" or not x or not y or len(x) + len(y) > most else f"\1{x}{y}\2" for a, x, y in zip(words, bare, bare[1:])]
+
+
+def sentences(words: list, stops: set[int]) -> Iterator[list]:
     at = 0
     for k in sorted(stops):
         yield words[at : k + 1]
@@ -226,24 +220,27 @@ def train(texts: list[str], labels: list[int], landmarks: int = 64, support: int
     if not ranked:
         return None
     chosen: list[str] = []
+    kernel_of = None
     for w in ranked:
         if len(chosen) == landmarks:
             break
-        if not chosen or Words(chosen).rows([w]).max() < 0.85:
+        if kernel_of is None or kernel_of.rows([w]).max() < 0.85:
             chosen.append(w)
-    kernel_of = Words(chosen)
+            kernel_of = Words(chosen)
     rows: dict[str, np.ndarray] = {}
-    new = sorted({w for words in split for w in words})
+    most = max(map(len, chosen)) - 2
+    pairs = [[*together(tokens(t), most), ""] for t in texts]
+    new = sorted({w for words in (*split, *pairs) for w in words})
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         k = kernel_of.rows(part)
         rows.update((w, r) for w, r in zip(part, k) if r.any())
     zero = np.zeros(len(chosen), np.float32)
     x, y = [], []
-    for words, stops, label in zip(split, ends, labels):
+    for words, beside, stops, label in zip(split, pairs, ends, labels):
         best, best_row = -1.0, zero
-        for s in sentences(words, stops):
-            found = [rows[w] for w in s if w in rows]
+        for s in sentences(list(zip(words, beside)), stops):
+            found = [rows[w] for both in s for w in both if w in rows]
             row = np.max(found, axis=0) if found else zero
             worth = float(row.sum())
             if worth > best:
@@ -261,51 +258,72 @@ def train(texts: list[str], labels: list[int], landmarks: int = 64, support: int
 
 
 class Scorer:
-    """Margins of texts; words that touch no landmark are remembered as such. most: words remembered."""
+    """Scores of texts; words are remembered. most: words remembered."""
 
     def __init__(self, model: Model, most: int = 400_000) -> None:
         self.model, self.most = model, most
         self.words = Words(model.landmarks)
+        self.letters = max(map(len, model.landmarks)) - 2
+        self._forget()
+
+    def _forget(self) -> None:
         self.cache: dict[str, int] = {}
-        self.rows = [np.zeros(len(model.landmarks), np.float32)] * 2
+        self.bare: list[str] = []
+        self.rows = np.zeros((0, len(self.model.landmarks)), np.float32)
+        self.size, self.stop, self.some = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if len(self.cache) > self.most:  # between calls, so numbers stay valid within one
-            self.cache, self.rows = {}, self.rows[:2]
-        split = [t.lower().split() for t in texts]
-        cache, m = self.cache, self.model
-        self._learn(set().union(*split).difference(cache))
-        ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split)))
+            self._forget()
+        m, split = self.model, [t.lower().split() for t in texts]
+        lengths = np.fromiter(map(len, chain.from_iterable(split)), np.int64)
+        single = lengths == 1
         ends = np.cumsum([len(w) for w in split])
+        spelt = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(lengths) > 2 else np.zeros(0, np.int64)
+        for i in set(np.searchsorted(ends, spelt, "right").tolist()):  # spelt out, perhaps: such runs are read as words
+            split[i] = tokens(texts[i])
+        self._learn(set().union(*split).difference(self.cache))
+        ids = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64)
         out = np.full(len(texts), m.bias)
-        single = ids == 1
-        spelt = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(ids) > 2 else np.zeros(0, np.int64)
-        spelt = set(np.searchsorted(ends, spelt, "right").tolist())  # spelt out, perhaps: such runs are read as words
-        for i in sorted(spelt.union(np.searchsorted(ends, np.flatnonzero(ids > 1), "right").tolist())):
-            words, best, have = split[i], m.bias, None
-            numbers = ids[ends[i] - len(words) : ends[i]].tolist()
-            if i in spelt:
-                words = tokens(texts[i])
-                self._learn(set(words).difference(cache))
-                numbers = list(map(cache.__getitem__, words))
-            for j, k in enumerate(numbers):
-                if k > 1:
-                    have = self.rows[k] if have is None else np.maximum(have, self.rows[k])
-                if have is not None and (words[j][-1] in ".!?" or j == len(words) - 1):
-                    best, have = max(best, float(have @ m.weights) + m.bias), None
-            out[i] = best
+        if not len(ids):
+            return m.probability(out)
+        doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        last = np.append(doc[1:] != doc[:-1], True) | self.stop[ids]
+        sentence = np.cumsum(last) - last
+        at = np.flatnonzero(self.some[ids])
+        beside = np.flatnonzero(~last[:-1] & (self.size[ids[:-1]] > 0) & (self.size[ids[1:]] > 0) & (self.size[ids[:-1]] + self.size[ids[1:]] <= self.letters))
+        code, back = np.unique(ids[beside] << 32 | ids[beside + 1], return_inverse=True)
+        pair = self.words.rows([f"\1{self.bare[a]}{self.bare[b]}\2" for a, b in zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())])
+        full = pair.any(1)[back] if len(back) else np.zeros(0, bool)
+        of = np.concatenate([sentence[at], sentence[beside[full]]])
+        from_ = np.concatenate([self.some[ids[at]] - 1, len(self.rows) + back[full]])
+        every = np.concatenate([self.rows, pair])
+        best = np.full(int(sentence[-1]) + 1, m.bias)
+        order = np.argsort(of, kind="stable")
+        of, from_ = of[order], from_[order]
+        cuts = [0, *range(100_000, len(of), 100_000), len(of)]
+        cuts = sorted({int(np.searchsorted(of, of[c])) if 0 < c < len(of) else c for c in cuts})  # whole sentences
+        for x, y in zip(cuts, cuts[1:]):
+            first = np.flatnonzero(np.concatenate([[True], of[x + 1 : y] != of[x : y - 1]]))
+            best[of[x:y][first]] = np.maximum.reduceat(every[from_[x:y]], first, axis=0) @ m.weights + m.bias
+        np.maximum.at(out, doc[last], best)
         return m.probability(out)
 
     def _learn(self, new: set[str]) -> None:
-        """Number words: 0 for those near no landmark, 1 for single characters, others for a kernel row."""
-        bare = sorted(set(map(plain, new)))
-        k = self.words.rows(bare)
-        number = {}
-        for at in np.flatnonzero(k.any(1)).tolist():
-            number[bare[at]] = len(self.rows)
-            self.rows.append(k[at])
-        for w in new:
-            self.cache[w] = 1 if len(w) == 1 else number.get(plain(w), 0)
+        """Number words, with their letters, and a row for those near a landmark."""
+        words = sorted(new)
+        marked = [plain(w) for w in words]
+        k = self.words.rows(marked)
+        near = np.flatnonzero(k.any(1))
+        some = np.zeros(len(words), np.int64)
+        some[near] = len(self.rows) + 1 + np.arange(len(near))
+        self.rows = np.concatenate([self.rows, k[near]])
+        self.some = np.concatenate([self.some, some])
+        self.size = np.concatenate([self.size, np.array([len(w) - 2 for w in marked], np.int32)])
+        self.stop = np.concatenate([self.stop, np.array([w[-1] in ".!?" for w in words], bool)])
+        for w, b in zip(words, marked):
+            self.cache[w] = len(self.bare)
+            self.bare.append(b[1:-1])
 
 
 def fold(id_col: str) -> F.Column:

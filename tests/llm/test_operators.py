@@ -154,6 +154,34 @@ def test_toxicity(spark):
     assert fold("doc_id") is not None
 
 
+def test_toxicity_kernel():
+    """The textbook kernel by sums over all subsequences: letters between all others and split words keep a value."""
+    from itertools import combinations
+
+    from lobspark.llm.op3_toxicity import FLOOR, ORDER, POWER, Words, plain, together
+
+    def features(w):
+        out = {}
+        for at in combinations(range(len(w)), ORDER):
+            u = tuple(w[x] for x in at)
+            out[u] = out.get(u, 0) + 0.6 ** (at[-1] - at[0] + 1)
+        return out
+
+    dot = lambda x, y: sum(v * y.get(u, 0) for u, v in x.items())
+    rng = random.Random(2)
+    marks = [plain(w) for w in ("idiot", "moron", "trash", "scum", "worthless")]
+    words = [plain(w) for w in ("ixdxixoxt", "mxoxrxoxn", "txrxaxsxh", "scuxym", "mo1on", "été")]
+    words += [plain("".join(rng.choice("idotmrnascuhwle") for _ in range(rng.randrange(2, 15)))) for _ in range(300)]
+    got = Words(marks).rows(words)
+    for w, row in zip(words, got):
+        for m, v in zip(marks, row):
+            x, y = features(w), features(m)
+            k = dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+            assert abs(k - FLOOR) < 1e-5 or abs(v - (k**POWER if k >= FLOOR else 0)) < 1e-4
+    assert got[0, 0] and got[1, 1] and got[2, 2] and got[3, 3] and got[4, 1]
+    assert together("you id iot. so".split(), 9) == ["\1youid\2", "\1idiot\2", ""]
+
+
 def test_exact_dedup(spark, docs, rows):
     from lobspark.llm.op4_exact_dedup import exact_dedup, stage
 
