@@ -155,31 +155,55 @@ def test_toxicity(spark):
 
 
 def test_toxicity_kernel():
-    """The textbook kernel by sums over all subsequences: letters between all others and split words keep a value."""
+    """The textbook kernel by sums over all subsequences, uncut, and so without negative eigenvalues; other readings of words."""
     from itertools import combinations
 
-    from lobspark.llm.op3_toxicity import FLOOR, ORDER, POWER, Words, plain, together
+    from lobspark.llm.op3_toxicity import DECAY, ORDER, POWER, Lexicon, Words, longer, plain
 
     def features(w):
         out = {}
         for at in combinations(range(len(w)), ORDER):
             u = tuple(w[x] for x in at)
-            out[u] = out.get(u, 0) + 0.6 ** (at[-1] - at[0] + 1)
+            out[u] = out.get(u, 0) + DECAY ** (at[-1] - at[0] + 1)
         return out
 
     dot = lambda x, y: sum(v * y.get(u, 0) for u, v in x.items())
     rng = random.Random(2)
     marks = [plain(w) for w in ("idiot", "moron", "trash", "scum", "worthless")]
-    words = [plain(w) for w in ("ixdxixoxt", "mxoxrxoxn", "txrxaxsxh", "scuxym", "mo1on", "été")]
+    words = [plain(w) for w in ("idixot", "mxoroxn", "txrxash", "scuxym", "mo1on", "été")]
     words += [plain("".join(rng.choice("idotmrnascuhwle") for _ in range(rng.randrange(2, 15)))) for _ in range(300)]
     got = Words(marks).rows(words)
     for w, row in zip(words, got):
         for m, v in zip(marks, row):
             x, y = features(w), features(m)
-            k = dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
-            assert abs(k - FLOOR) < 1e-5 or abs(v - (k**POWER if k >= FLOOR else 0)) < 1e-4
-    assert got[0, 0] and got[1, 1] and got[2, 2] and got[3, 3] and got[4, 1]
-    assert together("you id iot. so".split(), 9) == ["\1youid\2", "\1idiot\2", ""]
+            assert abs(v - (dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5) ** POWER) < 1e-4
+    some = words[:120]
+    assert np.linalg.eigvalsh(Words(some).rows(some).astype(float)).min() > -1e-5
+    weights = np.arange(5.0)
+    assert np.allclose(Words(marks).sums(words, weights), got @ weights, atol=1e-4)
+    assert plain("ixdxixoxt") == plain("i-d-i-o-t") == plain("idiot") and plain("moron") == "\1moron\2" and plain("") == "\1\2"
+    assert len(longer("idiot", rng)) in (8, 9)
+    ids, start, doc, pair, extra = Lexicon(marks, Words(marks).rows).read(["you id iot. so i d i o t", "", "x " * 100])
+    assert doc.tolist() == [0, 0, 2] and start.tolist() == [0, 3, 5] and pair.tolist() == [1] and abs(extra[0, 0] - 1) < 1e-5
+    assert len(Lexicon(marks, Words(marks).rows).read(["word " * 100])[1]) == 3
+
+
+def test_toxicity_held_out(spark):
+    """Found and spared in the held-out fold of a labelled table, as it is and with each plain insult bent."""
+    from lobspark.llm.op3_toxicity import Scorer, fit, fold
+
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = fit(docs, labels)
+    held = docs.filter(fold("doc_id") == 0).join(labels, "doc_id").select("text", "toxic").collect()
+    texts, y = [r["text"] or "" for r in held], np.array([r["toxic"] for r in held])
+    score = Scorer(model).score(texts)
+    found, spared = (score[y == 1] >= 0.5).mean(), (score[y == 0] < 0.5).mean()
+    assert found >= 0.85 and spared >= 0.95, (found, spared)
+    insult = re.compile(r"\b(trash|pathetic|idiot|worthless|stupid|clown|loser|scum|moron)\b", re.I)
+    bad = [t for t, k in zip(texts, y) if k and insult.search(t)]
+    for bend in (lambda w: w[:2] + "x" + w[2:], "-".join, " ".join, "x".join, lambda w: w[:2] + " " + w[2:]):
+        assert (Scorer(model).score([insult.sub(lambda m: bend(m[0]), t) for t in bad]) >= 0.5).mean() >= 0.9
 
 
 def test_exact_dedup(spark, docs, rows):
