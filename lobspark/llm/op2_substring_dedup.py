@@ -5,29 +5,31 @@ document with a smaller identifier. Every window's smallest phrase (of PHRASE wo
 equal windows have equal anchors, and only about one phrase in twenty is one.
 
 1. Anchors are counted over all documents, per shard of documents; those that two documents hold recur.
-2. Every shard gets its documents and the recurring anchors that stand in it. It confirms them by their words,
-   compiles one Aho-Corasick automaton over word codes, and streams all its documents through it: all occurrences
-   of recurring phrases. Windows with such an occurrence are candidates, keyed by their smallest phrase and
-   their own hash. Within the shard the smallest document of a window settles the others at once.
-3. What is left meets by anchor, at most one document of a shard for each window, and is settled in order of
-   documents. No pairs are made, and no phrase's occurrences meet in one task beyond one for each shard.
+2. Every shard gets its documents and the recurring anchors that stand in it. It compiles one Aho-Corasick automaton
+   of these phrases (each word as two of 128 symbols) and streams all its documents through it; every hit is confirmed
+   by comparing its words with the phrase's. Windows with such an occurrence are candidates, keyed by their smallest
+   phrase and their own hash. Within the shard the smallest document of a window settles the others at once.
+3. What is left meets by anchor and group of shards, then by anchor, each time at most one document of a part for each
+   window, and is settled in order of documents. No pairs are made, and of a phrase that all shards hold a task gets
+   about the square root of their number of rows.
 4. Documents with candidates get their settled windows back and lose the words.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one space. Null text has none. Windows are
 judged on the input. A null identifier counts as smaller than any other; rows that repeat an identifier don't
-affect each other. Other columns are ignored; an empty table gives an empty result. Windows are told apart by
-two independent 64-bit hashes (their anchor's and their own). A shard holds about `shard_bytes` of text, which
-bounds its automaton.
+affect each other. Other columns are ignored; an empty table gives an empty result. Windows of one shard and of
+several are told apart by two 64-bit hashes over their words' 64-bit hashes (their anchor's and their own). A shard
+holds about `shard_bytes` of text, which bounds its automaton; a task works on one shard after another, at most TASKS.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,7 @@ from .store import drop, partitions, written
 from .textnum import HASHED, SPACES, U, pieces, ragged, run_hashes, utf8, word_bounds, word_hashes
 
 PHRASE = 12
+TASKS = 20_000  # partitions that shards are dealt to, at most
 FAR = ~U(0)
 NONE = -(1 << 63)
 
@@ -51,12 +54,13 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
 
 
 class Text:
-    """Words of a slice of rows: hashes, rows, phrase hashes (FAR where a phrase would cross rows)."""
+    """Words of a slice of rows: bounds, hashes, rows, phrase hashes (FAR where a phrase would cross rows)."""
 
     def __init__(self, column: pa.Array, window: int) -> None:
-        data, off = utf8(column)
-        self.starts, self.ends, self.row = word_bounds(data, off, SPACES)
-        self.h = word_hashes(data, self.starts, self.ends)
+        self.data, off = utf8(column)
+        starts, ends, row = word_bounds(self.data, off, SPACES)
+        self.h = word_hashes(self.data, starts, ends)
+        self.starts, self.ends, self.row = starts.astype(np.int32), ends.astype(np.int32), row.astype(np.int32)
         self.count = np.bincount(self.row, minlength=len(column))
         self.first = np.cumsum(self.count) - self.count
         self.window = window
@@ -65,6 +69,17 @@ class Text:
         n = max(0, len(self.h) - window + 1)
         self.whole = self.row[:n] == self.row[window - 1 :] if n else np.zeros(0, bool)
 
+    def symbols(self, at: slice = slice(None)) -> str:
+        """Two characters a word: 7 bits of its hash each, the second from another range."""
+        h = self.h[at]
+        out = np.empty((len(h), 2), np.uint32)
+        out[:, 0], out[:, 1] = (h >> U(32)) & U(127), (h >> U(39)) & U(127) | U(128)
+        return out.tobytes().decode("utf-32-le")
+
+    def words(self, at: int) -> bytes:
+        """The words of the phrase at a position, as they stand."""
+        return self.data[self.starts[at] : self.ends[at + PHRASE - 1]].tobytes()
+
     def anchors(self) -> np.ndarray:
         """Positions of phrases that are the smallest of some window."""
         reach = self.window - PHRASE + 1
@@ -97,6 +112,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     kind_i = plain.schema["i"].dataType
     volume = plain.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     shards = int(max(p, -(-volume // shard_bytes)))
+    tasks = min(shards, TASKS)
+    near = max(1, math.isqrt(shards))  # shards whose windows meet first
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +135,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     recurring = local.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("a")
     told = local.select("a", "s").join(recurring, "a").select("s", F.lit(0).alias("kind"), "a", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
     held = plain.select(shard_of(shards).alias("s"), F.lit(1).alias("kind"), F.col("d").alias("a"), "i", "t")
-    dealt = told.unionByName(held).repartition(shards, "s").sortWithinPartitions("s", "kind", "a")
+    task = F.floor(F.col("s").cast("long") * tasks / shards).cast("int")  # dealt by range: none gets two shards before all have one
+    dealt = told.unionByName(held).repartitionById(tasks, task).sortWithinPartitions("s", "kind", "a")
     schema = T.StructType([T.StructField(c, k) for c, k in (("kind", T.IntegerType()), ("u", T.LongType()), ("i", kind_i), ("d", T.LongType()), ("a", T.LongType()), ("n", T.LongType()), ("k", T.BinaryType()), ("t", T.StringType()))])
 
     def shard(no: int, known: np.ndarray, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,51 +147,52 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         parts = [p for b in rows for p in pieces(b, 4, HASHED)]
         type_i = parts[0].schema.field(3).type
         types = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("i", type_i), ("d", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("t", pa.string())])
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        phrases: list[int] = []
-        seen: set[int] = set()
-        if len(known):  # confirm the phrases by their words
-            for part in parts:
-                text = Text(part.column(4), window)
-                at = text.anchors()
-                at = at[np.isin(text.phrase[at], known)]
-                code = (text.h >> U(32)).astype(np.int64)
-                for x in at.tolist():
-                    value = int(text.phrase[x])
-                    if value not in seen:
-                        seen.add(value)
-                        automaton.add_word(tuple(code[x : x + PHRASE].tolist()), len(phrases))
-                        phrases.append(value)
+        texts = [Text(p.column(4), window) for p in parts]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        known, phrases, words = np.unique(known), [], []
+        seen = np.zeros(len(known), bool)
+        for text in texts if len(known) else ():  # each phrase by the words of its first place
+            at = text.anchors()
+            where = np.minimum(np.searchsorted(known, text.phrase[at]), len(known) - 1)
+            new = (known[where] == text.phrase[at]) & ~seen[where]
+            which, first = np.unique(where[new], return_index=True)
+            seen[which] = True
+            for x in at[new][first].tolist():
+                automaton.add_word(text.symbols(slice(x, x + PHRASE)), len(phrases))
+                phrases.append(int(text.phrase[x]))
+                words.append(text.words(x))
         if phrases:
             automaton.make_automaton()
         values = np.array(phrases, U)
         kept, base = [], 0
-        for k, part in enumerate(parts):
-            text = Text(part.column(4), window)
+        for part, text in zip(parts, texts):
             rows_here = part.num_rows
             place = np.full(len(text.phrase), FAR)
-            if phrases:
-                code = (text.h >> U(32)).tolist()
-                for r in np.flatnonzero(text.count >= window).tolist():
-                    a, b = text.first[r], text.first[r] + text.count[r]
-                    hit = [(a + end - PHRASE + 1, v) for end, v in automaton.iter(tuple(code[a:b]))]
-                    if hit:
-                        pos, which = np.array(hit, np.int64).T
-                        true = text.phrase[pos] == values[which]
-                        place[pos[true]] = values[which[true]]
-            least = sliding(place, window - PHRASE + 1, np.minimum)
-            start = np.flatnonzero(text.whole & (least < FAR)) if len(least) else np.zeros(0, np.int64)
-            row = text.row[start]
-            wh = run_hashes(text.h, window)[start] if len(start) else np.zeros(0, U)
-            kept.append((least[start], wh, base + row, start - text.first[row]))
+            hit = list(automaton.iter(text.symbols())) if phrases and len(text.phrase) else []
+            if hit:
+                pos, which = np.array(hit, np.int64).T
+                pos = (pos + 1) // 2 - PHRASE
+                true = text.phrase[pos] == values[which]  # not across rows
+                pos, which = pos[true], which[true]
+                same = np.fromiter((text.words(x) == words[v] or text.words(x).split() == words[v].split() for x, v in zip(pos.tolist(), which.tolist())), bool, len(pos))
+                place[pos[same]] = values[which[same]]
             touched = np.zeros(rows_here, bool)
-            touched[row] = True
+            if hit:
+                least = sliding(place, window - PHRASE + 1, np.minimum)
+                start = np.flatnonzero(text.whole & (least < FAR)) if len(least) else np.zeros(0, np.int64)
+                if len(start):
+                    row = text.row[start]
+                    kept.append((least[start], run_hashes(text.h, window)[start], base + row.astype(np.int64), start - text.first[row]))
+                    touched[row] = True
             loose = np.flatnonzero(~touched)
             if len(loose):
                 strings = part.column(4).take(pa.array(loose)).to_pylist()
                 joined = [t.encode() if as_is else b" ".join(t.encode().split()) for t in strings]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(loose), np.int32)), pa.nulls(len(loose), pa.int64()), part.column(3).take(pa.array(loose)), pa.nulls(len(loose), pa.int64()), pa.nulls(len(loose), pa.int64()), pa.array(text.count[loose]), pa.nulls(len(loose), pa.binary()), pa.array([hashlib.sha256(j).hexdigest() if digest else j.decode() for j in joined], pa.string())], schema=types)
             base += rows_here
+        texts.clear()
+        if not kept:
+            return
         a, w, r, s = (np.concatenate(x) for x in zip(*kept))
         doc = np.concatenate([p.column(2).to_numpy() for p in parts])
         order = np.lexsort((doc[r], w, a))
@@ -229,42 +248,59 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     scanned = written(dealt.mapInArrow(scan, schema), "scanned")
     drop(local)
 
+    run_types = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("d", pa.int64()), ("u", pa.int64()), ("n", pa.int64()), ("k", pa.binary())])
+    run_schema = "kind int, a long, d long, u long, n long, k binary"
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Starts, by row, of windows that a smaller document holds too."""
-        held: pa.Table | None = None
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            anchor, doc, u, at = (t.column(k).to_numpy() for k in (0, 1, 2, 3))
-            blob = t.column(4).combine_chunks()
-            z = np.array([len(x) for x in blob.to_pylist()], np.int64) // 8
-            w = np.frombuffer(b"".join(blob.to_pylist()), U)
+        """kind 0: starts k, in row u, of windows that a smaller document holds too. kind 2: windows that are left, as they came."""
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            anchor, group, doc, u, at = (t.column(k).to_numpy() for k in range(5))
+            blob = t.column(5).to_pylist()
+            z = np.fromiter(map(len, blob), np.int64, len(blob)) // 8
+            w = np.frombuffer(b"".join(blob), U)
             row = np.repeat(np.arange(len(z)), z)
             start = at[row] + ragged(np.zeros(len(z), np.int64), z)
-            order = np.lexsort((doc[row], w, anchor[row]))
+            key = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (group[1:] != group[:-1])]))
+            order = np.lexsort((doc[row], w, key[row]))
             row, w, start = row[order], w[order], start[order]
-            new = np.concatenate([[True], (w[1:] != w[:-1]) | (anchor[row[1:]] != anchor[row[:-1]])])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = doc[row] > doc[row[first]]
-            row, start = row[late], start[late]
-            order = np.argsort(u[row], kind="stable")
-            row, start = u[row[order]], start[order].astype(np.int32)
-            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(row)) if len(cut) else cut
-            return pa.RecordBatch.from_arrays([pa.array(row[cut]), pa.array([start[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())], pa.binary())], ["u", "k"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            a = held.column(0).to_numpy()
-            cut = int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield done(held)
-
-    windows = scanned.filter("kind = 2").select("a", "d", "u", "n", "k").repartition(p, "a").sortWithinPartitions("a", "d")
-    late = windows.mapInArrow(settle, "u long, k binary").select("u", F.lit(0).alias("kind"), "k", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
+            new = np.concatenate([[True], (w[1:] != w[:-1]) | (key[row[1:]] != key[row[:-1]])])
+            late = doc[row] > doc[row[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+            gone, begin = u[row[late]], start[late].astype(np.int32)
+            order = np.argsort(gone, kind="stable")
+            gone, begin = gone[order], begin[order]
+            cut = np.flatnonzero(np.concatenate([[True], gone[1:] != gone[:-1]])) if len(gone) else np.zeros(0, np.int64)
+            ends, m = np.append(cut[1:], len(gone)), len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(gone[cut]), pa.nulls(m, pa.int64()), pa.array([begin[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())], pa.binary())], schema=run_types)
+            row, w, start = row[~late], w[~late], start[~late]
+            order = np.lexsort((start, row))
+            row, w, start = row[order], w[order], start[order]
+            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
+            ends, m, r = np.append(cut[1:], len(row)), len(cut), row[cut]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(anchor[r]), pa.array(doc[r]), pa.array(u[r]), pa.array(start[cut]), pa.array([w[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())], pa.binary())], schema=run_types)
+
+        for batch in batches:  # sorted by anchor and group; the last one may go on in the next batch
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            if not t.num_rows:
+                held = []
+                continue
+            anchor, group = t.column(0).to_numpy(), t.column(1).to_numpy()
+            new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (group[1:] != group[:-1])) + 1
+            if len(new):
+                yield from done(t.slice(0, int(new[-1])))
+                held = t.slice(int(new[-1])).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    def met(rows: DataFrame, group: Column) -> DataFrame:
+        rows = rows.filter("kind = 2").select("a", group.cast("long").alias("g"), "d", "u", "n", "k")
+        return rows.repartition(p, "a", "g").sortWithinPartitions("a", "g").mapInArrow(settle, run_schema)
+
+    by_group = written(met(scanned, F.floor(F.shiftright("u", 32) / near)), "by_group")
+    late = by_group.unionByName(met(by_group, F.lit(0))).filter("kind = 0")
+    late = late.select("u", F.lit(0).alias("kind"), "k", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
     open_rows = scanned.filter("kind = 1").select("u", "kind", "k", "i", "t")
     result = T.StructType([T.StructField("i", kind_i), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("t", T.StringType())])
 
