@@ -246,20 +246,41 @@ def test_exact_dedup_repeated_ids(spark, monkeypatch):
 
 
 def test_sharding(spark):
-    from lobspark.llm.op5_sharding import balanced_shards
+    """The law, sizes, slots; groups that fit a shard stay whole, also with repeated and null ids and clashing columns."""
+    from lobspark.llm.op5_sharding import balanced_shards, cut_edges
 
+    rng = random.Random(4)
     data = [(i, "hot" if i % 3 == 0 else f"pair {i // 4}" if i % 5 else f"own {i}") for i in range(700)] + [(None, None), (7, None), (7, "")]
-    out = balanced_shards(spark.createDataFrame(data, "doc_id long, text string"), shards=8).collect()
+    data += [(1000 + i, f"group {rng.randrange(40)}") for i in range(300)] + [(2000 + i, "large") for i in range(80)] + [(None, "none")] * 30 + [(3000, "long " * 50_000)]
+    data += [(5000 + i, f"single {i}") for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "g", 1, 2) for i, t in data], "doc_id long, text string, g string, shard int, n int").repartition(5)
+    result = balanced_shards(docs, shards=8)
+    out = result.collect()
     assert len(out) == len(data)
-    by = {}
+    by, shards_of, size_of = {}, {}, {}
     for r in out:
         by.setdefault(r["shard"], []).append(r["slot"])
+        shards_of.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        size_of[r["text_crc32"], r["size"]] = size_of.get((r["text_crc32"], r["size"]), 0) + 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and len(by) == 8
     key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
     want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in data]
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=key) == sorted(want, key=key)
+    split = [size_of[g] for g, s in shards_of.items() if len(s) > 1]
+    assert split == [234], split  # the hot group alone, which is larger than a shard
+    assert tuple(cut_edges(result).first())[:2] == (sum(n > 1 for n in size_of.values()), 1)
     assert balanced_shards(empty(spark)).count() == 0
+    assert sorted(r["slot"] for r in balanced_shards(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")).collect()) == [0, 0, 0]
+
+
+def test_sharding_keeps_groups(spark):
+    """On the tables: no group in several shards."""
+    from lobspark.llm.op5_sharding import cut_edges, query
+
+    for sf in ("sf0.001", "sf0.01"):
+        r = cut_edges(query(spark, f"/root/testdata/{sf}")).first()
+        assert r["groups"] > 5 and r["split"] == 0 == r["cut"], (sf, r)
 
 
 def tokenizer(name):
