@@ -325,16 +325,36 @@ def test_embeddings(spark):
 
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
-    x = np.concatenate([base, base[:15] + rng.normal(scale=0.12, size=(15, 16)), base[:1].repeat(9, 0), base[3:4] * 2.5])
-    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, [1.0, None]), (204, [1.0, 2.0])]
-    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_links(spark.createDataFrame(data, "vec_id long, embedding array<double>"), block=16).collect()}
-    u = x / np.sqrt((x * x).sum(1))[:, None]
+    hot = rng.normal(size=(1, 16)) + rng.normal(scale=0.34, size=(60, 16))  # many pairs on either side of the threshold
+    x = np.concatenate([base, base[:15] + rng.normal(scale=0.12, size=(15, 16)), base[:1].repeat(9, 0), base[3:4] * 2.5, hot, base[5:6] * 1e200, base[6:7] * 1e-200])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, [1.0, None]), (204, [1.0, 2.0]), (205, [])]
+    scaled = x / np.abs(x).max(1)[:, None]
+    u = scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
     link = (u @ u.T) >= 0.9
     np.fill_diagonal(link, False)
     comp = components(range(len(x)), zip(*np.nonzero(link)))
-    want = {i: (int(link[i].sum()), comp[i], comp[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(200, 205)}
-    assert out == want and link.any()
+    want = {i: (int(link[i].sum()), comp[i], comp[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(200, 206)}
+    near = np.abs(u @ u.T - 0.9)[np.triu_indices(len(x), 1)]
+    assert link.any() and near.min() > 1e-9 and (near < 0.01).any()
+    for block in (16, None):
+        rows = spark.createDataFrame([(*r, 1, 2, "c") for r in data], "vec_id long, embedding array<double>, rep long, n int, v string").repartition(3)
+        out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_links(rows, block=block).collect()}
+        assert out == want
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in embedding_links(twice).collect()) == [(0, 0), (1, 0), (1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("d", [3, 64, 1500, 4096])
+def test_embedding_bounds(d):
+    """Estimates stay within their errors, also where sums pass 2**24."""
+    from lobspark.llm.op7_embedding_neardup import bounds, quantise
+
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(30, d)), rng.choice([-1.0, 1.0], size=(10, d)), np.abs(rng.normal(size=(10, d))) ** 8])
+    u, *codes = quantise(x)
+    for at, about, error in bounds(codes, codes, False):
+        assert (np.abs(about - u[at : at + len(about)] @ u.T) <= error).all()
 
 
 def test_license_scan(spark, rows):
