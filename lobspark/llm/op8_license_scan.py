@@ -113,7 +113,20 @@ class Scanner:
         return found
 
     def matches(self, k: int, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        """(start, end, edits) of notice k in text[a:b], until none within the bound is left."""
+        """(start, end, edits) of notice k in text[a:b], in frames of bounded length, so time grows with b - a alone."""
+        size = len(self.patterns[k][1]) + 2 * self.patterns[k][2]  # more than a match and the room it is sought in
+        while a < b:
+            end = min(b, a + 8 * size)
+            for m in sorted(self.framed(k, text, a, end)):
+                if end == b or m[0] <= end - size:  # later ones are sought again in the next frame
+                    yield m
+                    a = max(a, m[1])
+            if end == b:
+                return
+            a = max(a, end - size + 1)
+
+    def framed(self, k: int, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """The matches of one frame, until none within the bound is left."""
         _, notice, edits, some, best = self.patterns[k]
         letters = {c: notice.count(c) for c in set(notice) - {" "}}
         left = [(a, b)]

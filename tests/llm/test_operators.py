@@ -403,6 +403,28 @@ def test_license_scan_all_spans():
     assert [text[a:z] for _, a, z, _ in found] == said and [e for *_, e in found] == [2, 0, 1, 2, 0]
 
 
+def test_license_scan_long_text(spark):
+    """Time grows with a text's length, frames lose nothing, and null or repeated ids and clashing columns don't matter."""
+    import time
+
+    from lobspark.llm.op8_license_scan import BASE, NOTICES, Scanner, license_scan
+
+    began = time.time()
+    found = Scanner(BASE, NOTICES).notices("general publik licens " * 20_000)
+    assert sum(f[0] == "gpl" for f in found) >= 20_000 and time.time() - began < 60
+    rng, said = random.Random(9), ["all rigts resrved", "al rights reserved", "all rights reserved", "gnu general publik licence", "mozila public license"]
+    words = ["filler", "all", "rights", "publ", "x", "license"]
+    for _ in range(20):
+        text = " ".join(rng.choice(said) if rng.random() < 0.1 else rng.choice(words) for _ in range(400))
+        whole, framed = Scanner(BASE, NOTICES), Scanner(BASE, NOTICES)
+        whole.matches = lambda k, t, a, b, of=whole: of.framed(k, t, a, b)
+        at = lambda s: sorted(f for f in s.notices(text) if f[3] == 0)
+        assert at(framed) == at(whole) and {f[0] for f in framed.notices(text)} == {f[0] for f in whole.notices(text)}
+    data = [(1, "all rigts resrved", "spans", 1), (1, None, "s", 2), (None, "CC BY", "t", 3)]
+    out = license_scan(spark.createDataFrame(data, "doc_id long, text string, labels string, n_words int")).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], r["n_words"]) for r in out) == [(0, "cc-by", 2), (1, "", 0), (1, "reserved", 3)]
+
+
 def test_packing(spark, rows):
     from lobspark.llm.op9_packing import pack
     from lobspark.llm.op10_bpe import vocabulary
