@@ -10,8 +10,9 @@ equal windows have equal anchors, and only about one phrase in twenty is one.
    by comparing its words with the phrase's. Windows with such an occurrence are candidates, keyed by their smallest
    phrase and their own hash. Within the shard the smallest document of a window settles the others at once.
 3. What is left meets by anchor and group of shards, then by anchor, each time at most one document of a part for each
-   window, and is settled in order of documents. No pairs are made, and of a phrase that all shards hold a task gets
-   about the square root of their number of rows.
+   window, and is settled in order of documents. No pairs are made. An anchor that many different windows have, as a
+   line common to many documents, is split by the windows' own hashes; equal windows of all shards meet in about the
+   square root of the shards' number of rows.
 4. Documents with candidates get their settled windows back and lose the words.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one space. Null text has none. Windows are
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,7 @@ from .store import drop, partitions, written
 from .textnum import HASHED, SPACES, U, pieces, ragged, run_hashes, utf8, word_bounds, word_hashes
 
 PHRASE = 12
+HOT = 2000  # windows of an anchor beyond which they are dealt out by their own hashes too
 TASKS = 20_000  # partitions that shards are dealt to, at most
 FAR = ~U(0)
 NONE = -(1 << 63)
@@ -294,12 +296,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    def met(rows: DataFrame, group: Column) -> DataFrame:
-        rows = rows.filter("kind = 2").select("a", group.cast("long").alias("g"), "d", "u", "n", "k")
+    def met(rows: DataFrame) -> DataFrame:
+        """rows: a, g, d, u, n, k; those of one a and g meet."""
         return rows.repartition(p, "a", "g").sortWithinPartitions("a", "g").mapInArrow(settle, run_schema)
 
-    by_group = written(met(scanned, F.floor(F.shiftright("u", 32) / near)), "by_group")
-    late = by_group.unionByName(met(by_group, F.lit(0))).filter("kind = 0")
+    windows = scanned.filter("kind = 2").select("a", F.floor(F.shiftright("u", 32) / near).cast("long").alias("g"), "d", "u", "n", "k")
+    by_group = written(met(windows), "by_group")
+    left = by_group.filter("kind = 2").select("a", "d", "u", "n", "k")
+    hot = left.groupBy("a").agg(F.sum(F.length("k") / 8).alias("z")).filter(F.col("z") > HOT).select("a", F.ceil(F.col("z") * 4 / HOT).cast("long").alias("buckets"))
+    left = left.join(hot, "a", "left")
+    each = left.filter("buckets is not null").select("*", F.explode(F.expr("sequence(0, int(length(k) / 8) - 1)")).alias("j"))
+    each = each.withColumn("k", F.expr("substring(k, 8 * j + 1, 8)")).withColumn("n", F.col("n") + F.col("j")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("buckets")))
+    columns = ["a", "g", "d", "u", "n", "k"]
+    whole = left.filter("buckets is null").withColumn("g", F.lit(0).cast("long"))
+    late = by_group.unionByName(met(whole.select(*columns).unionByName(each.select(*columns)))).filter("kind = 0")
     late = late.select("u", F.lit(0).alias("kind"), "k", F.lit(None).cast(kind_i).alias("i"), F.lit(None).cast("string").alias("t"))
     open_rows = scanned.filter("kind = 1").select("u", "kind", "k", "i", "t")
     result = T.StructType([T.StructField("i", kind_i), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("t", T.StringType())])

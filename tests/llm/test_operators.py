@@ -112,6 +112,26 @@ def test_substring_dedup(spark, docs, rows):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_substring_dedup_hot_anchor(spark, monkeypatch):
+    """A line common to all documents, with other words around it, and copies of some."""
+    from lobspark.llm import op2_substring_dedup
+
+    monkeypatch.setattr(op2_substring_dedup, "HOT", 20)
+    rng, line = random.Random(8), " ".join(f"c{k}" for k in range(30))
+    own = [" ".join(f"w{rng.randrange(900)}" for _ in range(30)) + f" {line} " + " ".join(f"w{rng.randrange(900)}" for _ in range(30)) for _ in range(60)]
+    data = [(i, own[i % 60] if i % 7 else f"{own[i % 60]} {own[(i + 1) % 60]}") for i in range(150)]
+    seen, want = {}, {}
+    for i, t in data:
+        w, gone = t.split(), set()
+        for s in range(len(w) - 49):
+            if seen.setdefault(tuple(w[s : s + 50]), i) < i:
+                gone.update(range(s, s + 50))
+        want[i] = len(gone)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["n_removed"] for r in op2_substring_dedup.remove_repeats(docs, shard_bytes=3000).collect()}
+    assert got == want and sum(want.values()) > 1000
+
+
 def test_substring_dedup_stage_repeated_ids(spark, rows):
     """Every row comes back once, with its own columns and text, whatever identifiers repeat or are null."""
     from lobspark.llm.op2_substring_dedup import stage
