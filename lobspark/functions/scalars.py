@@ -42,6 +42,12 @@ def dollars(price: Column) -> Column:
     return F.concat(F.floor(price / 10000).cast("string"), F.lit("."), F.lpad((price % 10000).cast("string"), 4, "0"))
 
 
+def quote_text(price: Column, qty: Column, orders: Column) -> Column:
+    """One side of a quote for reports; "none" without quantity."""
+    some = F.concat(commas(qty), F.lit(" @ "), dollars(price), F.lit(" ("), orders.cast("string"), F.lit(" orders)"))
+    return F.when(qty == 0, "none").otherwise(some)
+
+
 def commas(n: Column) -> Column:
     return F.format_number(n, 0)
 

@@ -35,6 +35,16 @@ O|dlcr|48|11 stock 8 c;19 open_eligibility 1 c;20 min_price 4 u;24 max_price 4 u
 """
 
 
+# Fixed values that a directory entry is written with where none are given; all other fields default to zeros or spaces.
+DEFAULTS = {
+    "R": {
+        "market_category": "Q", "financial_status": "N", "round_lot_size": 100, "round_lots_only": "N", "issue_classification": "C",
+        "issue_subtype": "Z ", "authenticity": "P", "short_sale_threshold": "N", "ipo_flag": "N", "luld_tier": "1",
+        "etp_flag": "N", "etp_leverage_factor": 0, "inverse_indicator": "N",
+    },
+}
+
+
 def _field(text: str) -> tuple[str, int, int, str]:
     at, name, width, kind = text.split()
     return name, int(at), int(width), kind
@@ -89,7 +99,8 @@ def number(value: Column, width: int) -> Column:
 
 
 def encode(kind: str, values: dict[str, Column]) -> Column:
-    """The payload of one type; fields without a value are zeros or spaces. Text is cut or padded to its width."""
+    """The payload of one type; fields without a value take DEFAULTS, else zeros or spaces. Text is cut or padded to its width."""
+    values = {k: F.lit(v) for k, v in DEFAULTS.get(kind, {}).items()} | values
     parts, at = [F.encode(F.lit(kind), "US-ASCII")], 1
     for name, start, width, what in FIELDS[kind]:
         if start > at:

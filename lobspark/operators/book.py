@@ -5,28 +5,70 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.wire import BOOK
+from ..scratch import drop, written
 
 KEY = ["trade_date", "locate"]
 TOP = ["bid_px", "bid_orders", "bid_qty", "ask_px", "ask_orders", "ask_qty"]
 
 
-def replace_roots(messages: DataFrame, rounds: int = 40) -> DataFrame:
-    """trade_date, ref, root, hops: the first order of every order's replace chain, by pointer doubling."""
-    made = messages.filter(F.col("type").isin("A", "F")).select("trade_date", "ref", F.col("ref").alias("root"), F.lit(0).alias("hops"))
-    links = messages.filter("type = 'U'").select("trade_date", F.col("new_ref").alias("ref"), F.col("ref").alias("root"), F.lit(1).alias("hops"))
+def lives(messages: DataFrame) -> DataFrame:
+    """One row for each thing that happens to an order: trade_date, ref, off, k, type, shares, locate, side, price, made.
+
+    k: c (made), r (reduced), k (killed). made: off of the message that made the order, which names one life of a
+    reference, as references may be used again; null where none did. A replace kills one order and makes another.
+    """
+    t = F.col("type")
+    adds = messages.filter(t.isin("A", "F")).select("trade_date", "ref", "off", F.lit("c").alias("k"), "type", "shares", "locate", "side", "price")
+    replaced = messages.filter("type = 'U'").select("trade_date", F.col("new_ref").alias("ref"), "off", F.lit("c").alias("k"), "type", "shares", "locate", F.lit(None).cast("int").alias("side"), "price")
+    acts = messages.filter(t.isin("E", "C", "X", "D", "U")).select("trade_date", "ref", "off", F.when(t.isin("D", "U"), "k").otherwise("r").alias("k"), "type", "shares", "locate", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("price"))
+    life = W.partitionBy("trade_date", "ref").orderBy("off", F.col("k") == "c").rowsBetween(W.unboundedPreceding, 0)
+    return adds.unionByName(replaced).unionByName(acts).withColumn("made", F.last(F.when(F.col("k") == "c", F.col("off")), ignorenulls=True).over(life))
+
+
+def chain_roots(rows: DataFrame, rounds: int = 64) -> DataFrame:
+    """trade_date, made, root, hops of every order that a replace made (rows of `lives`): root is the off of the chain's first order.
+
+    Pointer doubling: a chain of n replaces takes log2(n) rounds, each written to the shared folder when this is called.
+    """
+    links = written(rows.filter("type = 'U' and k = 'k' and made is not null").select("trade_date", F.col("off").alias("made"), F.col("made").alias("root"), F.lit(1).alias("hops"), F.lit(True).alias("moved")), "links")
     for _ in range(rounds):
-        up = links.select("trade_date", F.col("ref").alias("root"), F.col("root").alias("above"), F.col("hops").alias("more"))
+        up = links.select("trade_date", F.col("made").alias("root"), F.col("root").alias("above"), F.col("hops").alias("more"))
         joined = links.join(up, ["trade_date", "root"], "left")
-        if joined.filter("above is not null").isEmpty():
-            break
-        links = joined.select("trade_date", "ref", F.coalesce("above", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    return made.unionByName(links)
+        after = written(joined.select("trade_date", "made", F.coalesce("above", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("above").isNotNull().alias("moved")), "links")
+        drop(links)
+        links = after
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
+    raise RuntimeError("replace chains did not settle")
+
+
+def replace_roots(messages: DataFrame) -> DataFrame:
+    """trade_date, ref, root, hops: the first order of every order's replace chain; a row for each order, also of one reference."""
+    rows = lives(messages)
+    orders = rows.filter("k = 'c'").select("trade_date", "ref", "made")
+    roots = orders.join(chain_roots(rows), ["trade_date", "made"], "left").withColumn("root", F.coalesce("root", "made"))
+    first = orders.select("trade_date", F.col("ref").alias("first"), F.col("made").alias("root"))
+    return roots.join(first, ["trade_date", "root"]).select("trade_date", "ref", F.col("first").alias("root"), F.coalesce("hops", F.lit(0)).alias("hops"))
+
+
+def origins(rows: DataFrame) -> DataFrame:
+    """trade_date, made, locate, side of every order: those of its chain's first one."""
+    adds = rows.filter("k = 'c' and type <> 'U'").select("trade_date", F.col("made").alias("root"), "locate", "side")
+    made = rows.filter("k = 'c'").select("trade_date", "made").join(chain_roots(rows), ["trade_date", "made"], "left")
+    return made.withColumn("root", F.coalesce("root", "made")).join(adds, ["trade_date", "root"]).select("trade_date", "made", "locate", "side")
+
+
+def own_locates(messages: DataFrame) -> DataFrame:
+    """Messages whose executions, cancels, deletes and replaces carry their order's locate, whatever their header names."""
+    rows = lives(messages)
+    own = rows.filter("k <> 'c'").select("trade_date", "off", "made").join(origins(rows).select("trade_date", "made", F.col("locate").alias("own")), ["trade_date", "made"])
+    return messages.join(own.select("trade_date", "off", "own"), ["trade_date", "off"], "left").withColumn("locate", F.coalesce("own", "locate")).select(*messages.columns)
 
 
 def deltas(messages: DataFrame) -> DataFrame:
@@ -34,19 +76,14 @@ def deltas(messages: DataFrame) -> DataFrame:
 
     For feeds without anomalies. A message acts on its order's own locate, side and price.
     """
-    roots = replace_roots(messages)
-    adds = messages.filter(F.col("type").isin("A", "F")).select("trade_date", "ref", "locate", "side", "price", "shares", "off")
-    origin = adds.select("trade_date", F.col("ref").alias("root"), "locate", "side")
-    new = messages.filter("type = 'U'").select("trade_date", F.col("new_ref").alias("ref"), "price", "shares", "off")
-    new = new.join(roots.select("trade_date", "ref", "root"), ["trade_date", "ref"]).join(origin, ["trade_date", "root"])
-    create = adds.unionByName(new.drop("root")).withColumn("k", F.lit("c"))
-    act = messages.filter(F.col("type").isin("E", "C", "X", "D", "U")).select("trade_date", "ref", F.lit(None).cast("int").alias("locate"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("price"), "shares", "off", F.when(F.col("type").isin("D", "U"), "k").otherwise("r").alias("k"))
-    life = W.partitionBy("trade_date", "ref").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-    rows = create.unionByName(act)
-    rows = rows.select("trade_date", "off", "k", "shares", *[F.first(c, ignorenulls=True).over(life).alias(c) for c in ("locate", "side", "price")], F.sum(F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares")).otherwise(0)).over(life).alias("s"))
+    rows = lives(messages)
+    life = W.partitionBy("trade_date", "made").orderBy("off", F.col("k") != "c").rowsBetween(W.unboundedPreceding, 0)
+    change = F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares"))
+    of = rows.filter("made is not null").drop("locate", "side").join(origins(rows), ["trade_date", "made"])
+    of = of.select("trade_date", "off", "k", "shares", "locate", "side", F.first("price", ignorenulls=True).over(life).alias("price"), F.sum(F.coalesce(change, F.lit(0))).over(life).alias("s"))
     dq = F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares")).otherwise(-F.col("s"))
     dn = F.when(F.col("k") == "c", 1).when((F.col("k") == "k") | (F.col("s") == 0), -1).otherwise(0)
-    return rows.select("trade_date", "locate", "side", "price", "off", dq.alias("dq"), dn.cast("long").alias("dn"))
+    return of.select("trade_date", "locate", "side", "price", "off", dq.alias("dq"), dn.cast("long").alias("dn"))
 
 
 def level_depth(messages: DataFrame) -> DataFrame:
@@ -62,7 +99,10 @@ def depth_snapshot(messages: DataFrame) -> DataFrame:
 
 
 def top_relational(messages: DataFrame) -> DataFrame:
-    """Top of book after every book event, from the intervals in which levels live."""
+    """Top of book after every book event, from the intervals in which levels live.
+
+    A cross-check of `replay` for days of modest size: of each symbol's day every event meets every level's interval.
+    """
     w = W.partitionBy("trade_date", "locate", "side", "price").orderBy("off")
     levels = level_depth(messages).withColumn("until", F.lead("off").over(w)).filter("orders > 0").withColumnRenamed("off", "since")
     at = messages.filter(F.col("type").isin(*BOOK)).select("trade_date", "locate", "off")
@@ -140,35 +180,47 @@ class Book:
         return 0, 0, 0
 
 
-def step(book: Book, rows: pd.DataFrame) -> Iterator[tuple]:
-    """off, ts_ns, anomaly, live orders and top of book after each row, in order of `off`."""
-    blank = rows[["ref", "new_ref", "side", "shares", "price"]].fillna(0).astype("int64")
-    for off, ts, kind, *v in zip(rows["off"].tolist(), rows["ts_ns"].tolist(), rows["type"].tolist(), *(blank[c].tolist() for c in blank)):
-        odd = book.apply(kind, *v)
-        yield (off, ts, odd, len(book.orders), *book.best(0), *book.best(1))
+FOLD = pa.schema([("trade_date", pa.date32()), ("locate", pa.int32()), ("off", pa.int64()), ("ts_ns", pa.int64()), ("anomaly", pa.string()), ("live", pa.int64()), *((c, pa.int64()) for c in TOP)])
 
 
-def replay(messages: DataFrame) -> DataFrame:
+def replay(messages: DataFrame, num_locates: int | None = None) -> DataFrame:
     """The exact fold: one row for each book event, with its anomaly, live orders of the locate and top of book.
 
-    One task holds one symbol's day, the smallest unit a book has; its state is bounded by its live orders.
-    Messages of an order are taken to carry its locate, as on a clean feed.
+    A task walks its symbols' days one after another, message by message; what it holds is one book and a batch.
+    Adds with a locate of `num_locates` and more, if given, are anomalies. Messages of an order are taken to carry
+    its locate, as on a clean feed; `own_locates` makes them so.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("off")
-        out = pd.DataFrame(list(step(Book(), rows)), columns=["off", "ts_ns", "anomaly", "live", *TOP])
-        out.insert(0, "locate", rows["locate"].iloc[0])
-        out.insert(0, "trade_date", rows["trade_date"].iloc[0])
-        return out
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, book = None, Book()
+        for batch in batches:
+            out: list[list] = [[] for _ in FOLD]
+            add = [c.append for c in out]
+            numbers = [batch.column(k).fill_null(0).to_pylist() for k in range(5, 10)]
+            for day, locate, off, ts, kind, *v in zip(*(batch.column(k).to_pylist() for k in range(5)), *numbers):
+                if (day, locate) != key:
+                    key, book = (day, locate), Book()
+                ref, new_ref, side, shares, price = v
+                if num_locates is not None and locate >= num_locates and kind in "AF" and shares:
+                    odd = "bad_locate"
+                else:
+                    odd = book.apply(kind, ref, new_ref, side, shares, price)
+                for f, x in zip(add, (day, locate, off, ts, odd, len(book.orders), *book.best(0), *book.best(1))):
+                    f(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, FOLD)], schema=FOLD)
 
     needed = messages.filter(F.col("type").isin(*BOOK)).select("trade_date", "locate", "off", "ts_ns", "type", "ref", "new_ref", "side", "shares", "price")
     schema = "trade_date date, locate int, off long, ts_ns long, anomaly string, live long, " + ", ".join(f"{c} long" for c in TOP)
-    return needed.groupBy(*KEY).applyInPandas(fold, schema)
-
-
-def live_orders(messages: DataFrame) -> DataFrame:
-    """Per day: live orders at the end, and the most at any time."""
-    w = W.partitionBy("trade_date").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-    by = deltas(messages).groupBy("trade_date", "off").agg(F.sum("dn").alias("dn"))
-    return by.select("trade_date", "off", F.sum("dn").over(w).alias("live")).groupBy("trade_date").agg(F.max_by("live", "off").cast("long").alias("live_end"), F.max("live").cast("long").alias("live_peak"))
+    return needed.repartition(*KEY).sortWithinPartitions(*KEY, "off").mapInArrow(fold, schema)
+
+
+def live_orders(messages: DataFrame, parts: int = 1024) -> DataFrame:
+    """Per day: live orders at the end, and the most at any time. A day's offsets are summed in `parts` ranges, whose sums (a row each) are summed in order."""
+    by = written(deltas(messages).groupBy("trade_date", "off").agg(F.sum("dn").alias("dn")), "changes")
+    span = by.groupBy("trade_date").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
+    cut = by.join(span, "trade_date").withColumn("part", F.floor((F.col("off") - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)))
+    inside = W.partitionBy("trade_date", "part").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
+    ends = cut.withColumn("live", F.sum("dn").over(inside)).groupBy("trade_date", "part").agg(F.max("live").alias("peak"), F.sum("dn").alias("n"))
+    before = W.partitionBy("trade_date").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.withColumn("end", F.sum("n").over(before)).withColumn("peak", F.col("peak") + F.col("end") - F.col("n"))
+    return ends.groupBy("trade_date").agg(F.max_by("end", "part").cast("long").alias("live_end"), F.max("peak").cast("long").alias("live_peak"))

@@ -38,11 +38,17 @@ def histogram_stats(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).cast("long").alias("total"), F.max(value).alias("largest"), F.avg(value).alias("mean"))
 
 
-def quantiles(values: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact-rank bucket quantiles: the upper edge of the first bucket whose running count reaches ceil(q n), at most the maximum."""
+def quantiles(values: DataFrame, by: list[str], value: str, qs: dict[str, float], total: str | None = None) -> DataFrame:
+    """Exact-rank bucket quantiles and the maximum: the upper edge of the first bucket whose running count reaches ceil(q n), at most the maximum.
+
+    total: also a row for all values together, with this name in each column of `by`; its cells are sums of the others'.
+    """
     cells = values.groupBy(*by, bucket(F.col(value)).alias("bucket")).agg(F.count("*").alias("n"), F.max(value).alias("top"))
+    if total is not None:
+        every = cells.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        cells = cells.unionByName(every.select(*[F.lit(total).alias(c) for c in by], "bucket", "n", "top"))
     w = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     all_rows = W.partitionBy(*by)
     cells = cells.withColumn("running", F.sum("n").over(w)).withColumn("all", F.sum("n").over(all_rows)).withColumn("largest", F.max("top").over(all_rows)).withColumn("edge", bucket_edge(F.col("bucket")))
     rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all")))
-    return cells.groupBy(*by).agg(F.max("all").alias("n"), *[F.least(F.min(F.when(F.col("running") >= rank(q), F.col("edge"))), F.max("largest")).alias(name) for name, q in qs.items()])
+    return cells.groupBy(*by).agg(F.max("all").alias("n"), *[F.least(F.min(F.when(F.col("running") >= rank(q), F.col("edge"))), F.max("largest")).alias(name) for name, q in qs.items()], F.max("largest").alias("max"))

@@ -45,6 +45,7 @@ def sql(dialect: str, events: str, anomalies: bool = False) -> str:
             _part("id % 47 = 0", **at("id", "ns", 12), type="'A'", ref="8 * id + 5", side="side", shares="0", price="price", stock="stock"),
             _part("id % 53 = 0", **at("id", "ns", 13), type="'A'", ref="8 * id + 6", side="side", shares="100", price="price", stock="stock"),
             _part("id % 53 = 0", **at("id", "ns", 14), type="'E'", ref="8 * id + 6", shares="5000"),
+            _part("id % 59 = 0", **at("id", "ns", 15) | {"locate": "100"}, type="'A'", ref="8 * id + 4", side="side", shares="100", price="price", stock="stock"),
         ]
     return f"""
 WITH e AS (SELECT event_id AS id, CAST(ts AS date) AS trade_date, CAST({_NS[dialect]} AS bigint) AS ns, CAST(1 + user_id % 8 AS int) AS locate, event_type AS kind, CAST(floor(abs(value)) AS bigint) AS v FROM {events}),

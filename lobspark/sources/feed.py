@@ -2,9 +2,10 @@
 
 `spark.read.format("lobfeed").load(path)` gives frames (file, size, off, len, payload). A file ends at its first zero
 length, at a frame that exceeds it or with fewer than two bytes left; what follows is told by `trailing_bytes`.
-Files larger than `split_bytes` are read in ranges. A range starts where a chain of plausible frames starts, and a
-reader whose own chain doesn't end exactly at the next range's start fails, so a wrong guess can't give wrong rows;
-`split_bytes=0` reads each file whole.
+Files larger than `split_bytes` are read in ranges. A range starts where a chain of plausible frames starts, which its
+own task and the task before it seek, not the driver; a reader whose own chain doesn't end exactly at the next range's
+start fails, so a wrong guess can't give wrong rows. `split_bytes=0` reads each file whole. With `types`, a string of
+type letters, frames of other types leave the reader neither as rows nor as payloads.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import wire
+from ..functions.scalars import side_code
 
 SCHEMA = "file string, size long, off long, len int, payload binary"
 SPLIT = 64 << 20
@@ -60,39 +62,59 @@ def _plausible(data: bytes, at: int) -> bool:
 class Range(InputPartition):
     file: str
     size: int
-    start: int
-    end: int  # where the next range starts; the file's size for the last one
+    cuts: list[int]  # where this range is sought, and the ranges after it
 
 
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT))
+        self.types = frozenset(map(ord, options.get("types", "")))
 
     def partitions(self) -> list[Range]:
         out = []
         for file, size in _files(self.path):
-            fs, at = _fs(file)
-            starts = [0]
-            with fs.open_input_file(at) as f:
-                if f.read(2) == b"\x1f\x8b":
-                    raise ValueError(f"input is gzip-compressed: {file}")
-                for cut in range(self.split, size, self.split) if self.split else ():
-                    data = f.read_at(min(WINDOW, size - cut), cut)
-                    found = next((k for k in range(len(data) // 2) if _plausible(data, k)), None)
-                    if found is not None and cut + found > starts[-1]:
-                        starts.append(cut + found)
-            out += [Range(file, size, a, b) for a, b in zip(starts, [*starts[1:], size])]
+            step = self.split or max(1, size)
+            out += [Range(file, size, [cut, step]) for cut in range(0, max(1, size), step)]
         return out
 
+    @staticmethod
+    def _start(f, size: int, cut: int) -> int | None:
+        """Where the range of a cut starts; None if no frame is found to start near it."""
+        if cut == 0:
+            return 0
+        data = f.read_at(min(WINDOW, size - cut), cut)
+        found = next((k for k in range(len(data) // 2) if _plausible(data, k)), None)
+        return None if found is None else cut + found
+
+    def _bounds(self, f, p: Range) -> tuple[int, int] | None:
+        """Where a range starts and where the next one does; None for a range without a start of its own."""
+        cut, step = p.cuts
+        start = self._start(f, p.size, cut)
+        if cut and start is not None and cut - step > 0 and self._start(f, p.size, cut - step) == start:
+            start = None  # the range before starts there too
+        if start is None:
+            return None
+        for later in range(cut + step, p.size, step):
+            end = self._start(f, p.size, later)
+            if end is not None and end > start:
+                return start, end
+        return start, p.size
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        p = partition
+        p, types = partition, self.types
         fs, path = _fs(p.file)
         with fs.open_input_file(path) as f:
-            base, data, at, ended = p.start, b"", 0, False
-            while base + at < p.end and not ended:
+            if p.cuts[0] == 0 and f.read_at(min(2, p.size), 0) == b"\x1f\x8b":
+                raise ValueError(f"input is gzip-compressed: {p.file}")
+            bounds = self._bounds(f, p)
+            if bounds is None:
+                return
+            begin, stop = bounds
+            base, data, at, ended = begin, b"", 0, False
+            while base + at < stop and not ended:
                 base, data, at = base + at, f.read_at(min(CHUNK, p.size - base - at), base + at), 0
                 offs, lens, loads, total = [], [], [], len(data)
-                while base + at < p.end:
+                while base + at < stop:
                     if at + 2 > total:
                         ended = base + total >= p.size
                         break
@@ -102,15 +124,16 @@ class FeedReader(DataSourceReader):
                         break
                     if at + 2 + n > total:
                         break
-                    offs.append(base + at)
-                    lens.append(n)
-                    loads.append(data[at + 2 : at + 2 + n])
+                    if not types or data[at + 2] in types:
+                        offs.append(base + at)
+                        lens.append(n)
+                        loads.append(data[at + 2 : at + 2 + n])
                     at += 2 + n
                 if offs:
                     k = len(offs)
                     yield pa.RecordBatch.from_arrays([pa.array([p.file] * k), pa.array([p.size] * k, pa.int64()), pa.array(offs, pa.int64()), pa.array(lens, pa.int32()), pa.array(loads, pa.binary())], ["file", "size", "off", "len", "payload"])
-            if p.end < p.size and base + at != p.end:
-                raise ValueError(f"{p.file}: frames from {p.start} don't meet the range at {p.end}; read it with split_bytes=0")
+            if stop < p.size and base + at != stop:
+                raise ValueError(f"{p.file}: frames from {begin} don't meet the range at {stop}; read it with split_bytes=0")
 
 
 @dataclass
@@ -176,10 +199,10 @@ class FeedSource(DataSource):
         return FeedWriter(self.options)
 
 
-def read_feed(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
-    """Frames with trade_date, taken from a date in each file's name (null without one), and type."""
+def read_feed(spark: SparkSession, path: str, split_bytes: int = SPLIT, types: str = "") -> DataFrame:
+    """Frames (of some types, if given) with trade_date, taken from a date in each file's name (null without one), and type."""
     spark.dataSource.register(FeedSource)
-    rows = spark.read.format("lobfeed").option("split_bytes", split_bytes).load(path)
+    rows = spark.read.format("lobfeed").option("split_bytes", split_bytes).option("types", types).load(path)
     day = F.regexp_replace(F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"(\d{4}-?\d{2}-?\d{2})", 1), "-", "")
     return rows.withColumn("trade_date", F.to_date(F.nullif(day, F.lit("")), "yyyyMMdd")).withColumn("type", F.decode(F.substring("payload", 1, 1), "ISO-8859-1"))
 
@@ -202,6 +225,34 @@ def _field(t: str, name: str):
     return next((f for f in wire.FIELDS[t] if f[0] == name), None)
 
 
+def table(frames: DataFrame, kind: str) -> DataFrame:
+    """All fields of the whole messages of one type: trade_date, off, then the fields in the format's order."""
+    whole = frames.filter((F.col("type") == kind) & (F.col("len") >= wire.SIZES[kind]))
+    return whole.select("trade_date", "off", *wire.decode(F.col("payload"), kind))
+
+
+def wide(frames: DataFrame) -> DataFrame:
+    """Every field of every type, one column a name, null where a type lacks it; unknown types keep only their type.
+
+    Fields of eight bytes are decimal(20,0), others bigint, text keeps its padding. Frames shorter than their type are
+    left out.
+    """
+    size = wire.spec_size(F.col("type"))
+    known = frames.filter((size == 0) | (F.col("len") >= size))
+    places: dict[str, dict[tuple, list[str]]] = {}
+    for t in wire.SIZES:
+        for name, *where in wire.FIELDS[t]:
+            places.setdefault(name, {}).setdefault(tuple(where), []).append(t)
+    cells = []
+    for name, of in places.items():
+        cell, eight = F.lit(None), any(width == 8 for _, width, what in of if what == "u")
+        for (at, width, what), ts in of.items():
+            value = F.decode(F.substring("payload", at + 1, width), "US-ASCII") if what == "c" else wire.unsigned(F.col("payload"), at, width).cast("decimal(20,0)" if eight else "long")
+            cell = F.when(F.col("type").isin(*ts), value).otherwise(cell)
+        cells.append(cell.alias(name))
+    return known.select("trade_date", "off", "type", *cells)
+
+
 def messages(frames: DataFrame) -> DataFrame:
     """Frames as messages: trade_date, off, type, locate, ts_ns, ref, new_ref, side, shares, price, stock, code.
 
@@ -224,7 +275,7 @@ def messages(frames: DataFrame) -> DataFrame:
     side = cell("side")
     return known.select(
         "trade_date", "off", "type", signed(1, 2).cast("int").alias("locate"), signed(5, 6).alias("ts_ns"), cell("ref").alias("ref"), cell("new_ref").alias("new_ref"),
-        F.when(side.isNotNull(), F.when(side == "S", 1).otherwise(0)).alias("side"), cell("shares").alias("shares"), cell("price").alias("price"), cell("stock").alias("stock"),
+        F.when(side.isNotNull(), side_code(side)).alias("side"), cell("shares").alias("shares"), cell("price").alias("price"), cell("stock").alias("stock"),
         cell("", {"S": "event_code", "H": "trading_state"}).alias("code"),
     )
 
@@ -246,5 +297,5 @@ def write_csv(rows: DataFrame, path: str) -> None:
     text = lambda c: F.replace(F.format_number(c, 4), F.lit(","), F.lit(""))
     clock = F.concat(F.lpad(F.floor(F.col("minute") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("minute") % 60).cast("string"), 2, "0"))
     out = rows.select("trade_date", "locate", F.col("minute").alias("m"), "symbol", clock.alias("minute"), "ofi", "events", text("mid_open").alias("mid_open"), text("mid_close").alias("mid_close"))
-    out = out.repartition("trade_date").sortWithinPartitions("trade_date", "locate", "m")
+    out = out.repartition("trade_date").sortWithinPartitions("trade_date", "locate", "m")  # a file a day, of a row a symbol and minute
     out.drop("locate", "m").write.mode("overwrite").partitionBy("trade_date").option("header", True).csv(path)

@@ -26,7 +26,8 @@ OTHER = "YLVWKJhQBINO"
 
 
 def pack(kind: str, **values) -> bytes:
-    """One payload: fields without a value are zeros or spaces."""
+    """One payload: fields without a value take the format's defaults, else zeros or spaces."""
+    values = wire.DEFAULTS.get(kind, {}) | values
     out = bytearray(b" " * wire.SIZES[kind])
     out[0:1] = kind.encode()
     for name, at, width, what in wire.FIELDS[kind]:
@@ -49,7 +50,7 @@ def symbol_day(seed: int, day: int, i: int, count: int) -> Iterator[tuple[int, b
     refs: list[int] = []
     made, names, weights = 0, list(MIX), list(MIX.values())
     head = {"locate": locate, "stock": stock}
-    yield 3 * 3600 * SECOND + locate, pack("R", ts_ns=3 * 3600 * SECOND + locate, market_category="Q", financial_status="N", round_lot_size=100, round_lots_only="N", **head)
+    yield 3 * 3600 * SECOND + locate, pack("R", ts_ns=3 * 3600 * SECOND + locate, **head)
     yield 3 * 3600 * SECOND + 100_000 + locate, pack("H", ts_ns=3 * 3600 * SECOND + 100_000 + locate, trading_state="T", **head)
     marks = [(PAUSE, "H"), (RESUME, "T")] if i == 1 else []
     step = (LAST - FIRST) // max(1, count)

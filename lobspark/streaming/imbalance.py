@@ -85,6 +85,13 @@ class Symbol:
         s["mid"] = mid
 
 
+def end_markers(messages: DataFrame) -> DataFrame:
+    """One end message (S, code C) for each day of a table of messages, after its last one: put behind the messages, it has the stream tell its last groups."""
+    last = messages.groupBy("trade_date").agg(F.max("off").alias("off"), F.max("ts_ns").alias("ts_ns"))
+    cells = {"off": F.col("off") + 1, "ts_ns": F.col("ts_ns"), "type": F.lit("S"), "code": F.lit("C"), "locate": F.lit(0), "trade_date": F.col("trade_date")}
+    return last.select(*[cells.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in messages.schema])
+
+
 def imbalance_stream(messages: DataFrame, locates: DataFrame) -> DataFrame:
     """Rows of OUT from a stream of messages; rows with an anomaly have no interval. Append mode."""
     marks = messages.filter("type = 'S'").drop("locate").join(locates.select("trade_date", "locate"), "trade_date")
