@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .store import drop, partitions, written
@@ -205,8 +206,8 @@ def blocks(rows: DataFrame, by: str, size: DataFrame) -> DataFrame:
     return split.withColumn("tile", tile).withColumn("side", F.when(F.col("k") == 1, 2).when(F.col("b") < F.col("o"), 0).when(F.col("b") > F.col("o"), 1).otherwise(2)).drop("k", "b", "o", "weight")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row; sets link when 100 * intersection >= percent * union."""
+def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """i, sid (the set; 0: empty), n, class (one of the component's sets) and least (its smallest identifier) of every row."""
     spark = docs.sparkSession
     p = partitions(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -294,7 +295,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     # sorted arrays and bitmaps of the sets that are in some tile
     wanted = tiles.select("sid").distinct()
-    reps = members.filter("sid <> 0 and i is not null").groupBy("sid").agg(F.min("i").alias("i")).join(wanted, "sid")
+    firsts = written(members.filter("sid <> 0 and i is not null").groupBy("sid").agg(F.min("i").alias("i")), "firsts")
+    reps = firsts.join(wanted, "sid")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,21 +339,64 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         drop(used)
     joined = components(sure.unionByName(more)) if not more.isEmpty() else group
 
-    classed = members.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.when(F.col("sid") != 0, F.coalesce("component", "sid")))
-    least = classed.filter("class is not null and i is not null").groupBy("class").agg(F.min("i").alias("least"))
-    out = classed.join(least, "class", "left")
+    # smallest identifier of every set, then of every component: hot sets and components are aggregated before they are joined
+    sets = firsts.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
+    least = written(sets.filter("component is not null").groupBy("component").agg(F.min("i").alias("least")), "least")
+    sets = sets.join(least, "component", "left").select("sid", F.coalesce("component", "sid").alias("class"), F.coalesce("least", "i").alias("least"))
+    return members.join(sets, "sid", "left")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of every row; sets link when 100 * intersection >= percent * union."""
+    out = _classed(docs, k, percent, id_col, text_col)
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("least", "i")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each component one, with the smallest identifier; rows without words or identifier all stay."""
+    rows = written(_classed(docs, k, percent, id_col, text_col).filter("i is not null").select("i", "sid", "class", "least"), "classed")
+    # an identifier of one row is decided by itself; rows that share one are told apart by their sets
+    several = written(rows.groupBy("i").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("i").alias("__i")), "several")
+    lost = rows.filter("class is not null and i <> least").select(F.col("i").alias("__i")).distinct().join(several, "__i", "left_anti")
+    mine = F.col(id_col).cast("long") == F.col("__i")
+    if several.isEmpty():
+        return docs.join(lost, mine, "left_anti")
+    alone = docs.join(lost.unionByName(several), mine, "left_anti")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at, HASHED):
+                values, bounds = shingle_sets(*utf8(part.column(at)), k)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_ids(values, bounds).view(np.int64))], [*(f"own_{j}" for j in range(len(names))), "sid"])
+
+    wanted = docs.join(several, mine, "left_semi")
+    kind = T.StructType([*(T.StructField(f"own_{j}", f.dataType) for j, f in enumerate(wanted.schema)), T.StructField("sid", T.LongType())])
+    wanted = wanted.mapInArrow(marked, kind)
+    own = F.col(f"own_{names.index(id_col)}").cast("long")
+    best = rows.filter("class is not null and i = least").join(several, F.col("i") == F.col("__i"), "left_semi").groupBy("i", "class").agg(F.min("sid").alias("best")).select("i", "best")
+    whole = F.struct(*(f"own_{j}" for j in range(len(names)))).alias("row")
+    first = wanted.join(best, (own == F.col("i")) & (F.col("sid") == F.col("best"))).groupBy("i", "sid").agg(F.first(whole).alias("row"))
+    kept = first.select("row").unionByName(wanted.filter("sid = 0").select(whole))
+    return alone.unionByName(kept.select(*(F.col(f"row.own_{j}").alias(c) for j, c in enumerate(names))))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, with its columns; rows without identifier stay."""
-    found = jaccard_components(docs)
-    lost = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    return one_of_each(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
 
 
-ORACLE = None
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k : k + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""

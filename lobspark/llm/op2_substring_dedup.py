@@ -359,4 +359,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 
 
-ORACLE = None
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM v JOIN f USING (h) WHERE doc_id > least),
+p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
+o AS (SELECT p.doc_id, count(g.p) AS gone, string_agg(x, ' ' ORDER BY p.p) FILTER (g.p IS NULL) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
+"""

@@ -41,16 +41,21 @@ def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, n
     return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
+def id_type(path: str) -> np.dtype:
+    """Little-endian unsigned ids of 16 bits, of 32 where the vocabulary is larger."""
+    return np.dtype("<u2" if word_bpe(path).whole.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, ids (little-endian unsigned 16-bit, 32-bit where the vocabulary is larger), n, part, before: ids before it in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part_no, before = word_bpe(path), TaskContext.get().partitionId(), 0
+        bpe, part_no, before, kind = word_bpe(path), TaskContext.get().partitionId(), 0, id_type(path)
         for batch in batches:
             for part in pieces(batch, 1):
                 ids, n = with_end(*bpe.encode([t or "" for t in part.column(1).to_pylist()]), end_id)
                 ends = np.cumsum(n)
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * np.concatenate([[0], ends])).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((kind.itemsize * np.concatenate([[0], ends])).astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(n, pa.int64()), pa.array(np.full(len(n), part_no, np.int32)), pa.array(before + ends - n, pa.int64())], ["i", "ids", "n", "part", "before"])
                 before += int(ends[-1])
 
@@ -66,6 +71,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col
     base = totals.select("part", (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("total")).alias("base"), F.sum("total").over(W.partitionBy()).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(path)
         for batch in batches:
             at = batch.column(3).to_numpy() + batch.column(4).to_numpy()
             n, everything = batch.column(2).to_numpy(), batch.column(5).to_numpy()
@@ -76,7 +82,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col
             begin = np.maximum(seq * length, at[row])
             end = np.minimum((seq + 1) * length, (at + n)[row])
             raw = [memoryview(x.as_buffer()) for x in batch.column(1)]
-            cut = [np.frombuffer(raw[r], "<u2")[b:e].astype("<u4") for r, b, e in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist())]
+            cut = [np.frombuffer(raw[r], kind)[b:e].astype("<u4") for r, b, e in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist())]
             cols = [batch.column(0).take(pa.array(row)), pa.array(begin - at[row]), pa.array(end - begin), pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()), pa.array(n[row]), pa.array(seq), pa.array(begin - seq * length), pa.array(np.minimum(length, everything[row] - seq * length))]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "seq_tokens"]
             if with_ids:

@@ -1,57 +1,29 @@
-"""Written tables that cut lineage, in the folder that all executors share."""
+"""Written tables for the operators: as the library's, with settings that bound disk and memory."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import drop, scratch, shared_root
+from ..scratch import written as _written
+
+__all__ = ["drop", "partitions", "scratch", "shared_root", "tidy", "written"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch that Spark hands to Python. Counted in rows alone, 10,000 texts make a batch of any size.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only where that is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lobspark-")
-        spark.conf.set("spark.lobspark.scratch", root)
-    return root.rstrip("/")
-
-
 def tidy(spark: SparkSession) -> None:
     """From here on, the session's queries free their shuffle files when they end (none is read by a later query),
-    and Python gets batches of bounded size."""
+    and Python gets batches of bounded size. Both must hold when the caller runs the lazy result, so they stay set."""
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared root."""
-    return f"{shared_root(spark)}/lobspark-{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: survives lost executors, cuts lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    tidy(spark)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table from `written` that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    tidy(df.sparkSession)
+    return _written(df, name, **options)
 
 
 def partitions(spark: SparkSession) -> int:

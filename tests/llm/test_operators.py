@@ -94,6 +94,24 @@ def test_ngram_jaccard_large_group(spark):
     assert {r["component_id"] for r in jaccard_components(chain, 4, 85).collect()} == {0}
 
 
+def test_ngram_jaccard_stage_repeated_ids(spark):
+    """Exactly one row of each component stays, whatever identifiers repeat; rows without words or identifier stay."""
+    from lobspark.llm.op1_ngram_jaccard import jaccard_components, stage
+
+    word = lambda k: " ".join(f"{k}{j}" for j in range(40))
+    a, b, c = word("a"), word("b"), word("c")
+    data = [(1, a, "1"), (2, a + " x", "2"), (9, a + " y", "9a"), (9, b, "9b"), (9, b, "9c"), (9, None, "9d"), (9, " ", "9e"), (10, b + " z", "10"), (None, a, "n"), (None, a, "m"), (3, c, "3"), (3, c + " q", "4"), (11, c, "11"), (12, "", "12")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, sid string").repartition(3)
+    out = stage(spark, docs, "")
+    got = sorted(out.collect(), key=lambda r: r["sid"])
+    assert out.columns == docs.columns and all(tuple(r) in data for r in got)
+    kept = [r["sid"] for r in got]
+    assert set(kept) >= {"1", "9d", "9e", "n", "m", "12"} and not set(kept) & {"2", "9a", "10", "11"}
+    assert len(set(kept) & {"9b", "9c"}) == 1 and len(set(kept) & {"3", "4"}) == 1 and len(kept) == 8
+    found = jaccard_components(docs, 5, 80).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == sorted([(1, 1), (2, 1), (9, 1), (9, 9), (9, 9), (9, 9), (9, 9), (10, 9), (0, 0), (0, 0), (3, 3), (3, 3), (11, 3), (12, 12)])
+
+
 def test_substring_dedup(spark, docs, rows):
     from lobspark.llm.op2_substring_dedup import remove_repeats
 
@@ -483,15 +501,18 @@ def test_bpe(spark, rows):
     assert bpe_digest(empty(spark), path).count() == 0
 
 
-def test_exact_dedup_oracle(spark):
-    from lobspark.llm import op4_exact_dedup
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op2_substring_dedup", "op4_exact_dedup", "op7_embedding_neardup"])
+def test_oracle(spark, name):
+    from lobspark import llm
 
     d = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
-    got = op4_exact_dedup.query(spark, d)
-    want = db.execute(op4_exact_dedup.ORACLE)
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{d}/{table}.parquet')")
+    got = llm.queries()[name](spark, d)
+    want = db.execute(llm.oracle_sql()[name])
     names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())
 
 
