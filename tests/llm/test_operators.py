@@ -517,16 +517,143 @@ def test_oracle(spark, name):
 
 
 def test_pipeline(spark, tmp_path):
+    """Every stage against brute force on what its predecessor kept, with repeated and null identifiers and null texts."""
+    from itertools import combinations
+
     import corpus_pipeline
+    from lobspark.llm import op3_toxicity as toxic
+    from lobspark.llm.op10_bpe import vocabulary
 
-    d = "/root/testdata/sf0.001"
+    rng = random.Random(6)
+    syllables = ["ba", "do", "ri", "te", "mu", "sel", "nak", "Fo"]
+    line = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(n))
+    passage, data = line(60), []
+    for i in range(160):
+        t = line(rng.randrange(8, 70)) + rng.choice([".", "", "!"])
+        if i % 4 == 0:
+            words = t.split()
+            for _ in range(max(1, len(words) // 20)):
+                words.insert(rng.randrange(len(words)), rng.choice(["grumpfel", "zorkwit", "blixnarg"]))
+            t = " ".join(words)
+        elif i % 9 == 1:
+            t = f"{t} {passage} {line(30)}"
+        elif i % 9 == 2 and data:
+            t = (data[-1][1] or "") + rng.choice(["  ", "\n", " "])
+        elif i % 9 == 3 and data and data[-2][1]:
+            t = data[-2][1] + " extra"
+        data.append((i, t))
+    clean = [t for i, t in data if i % 4 and t]
+    data += [(7, clean[3]), (7, line(20)), (13, clean[5]), (None, clean[4]), (None, line(25)), (None, None), (500, None), (501, ""), (502, " \n")]
+    rows = [(i, t, "en", f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(data)]
+    d = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        counts.append(docs.count())
-        if name != "packing":
-            assert docs.columns == columns
-    assert counts == sorted(counts[:-1], reverse=True) + counts[-1:]
-    assert docs.select("doc_id").distinct().count() == counts[-2]
+    model = toxic.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+
+    def features(w):
+        out = {}
+        for at in combinations(range(len(w)), toxic.ORDER):
+            u = tuple(w[x] for x in at)
+            out[u] = out.get(u, 0) + toxic.DECAY ** (at[-1] - at[0] + 1)
+        return out, None
+
+    marks, known = [features(m)[0] for m in model.landmarks], {}
+
+    def worth(w):
+        if w not in known:
+            x = features(w)[0]
+            own = sum(v * v for v in x.values())
+            known[w] = 0.0
+            for m, weight in zip(marks, model.weights):
+                dot = sum(v * m.get(u, 0) for u, v in x.items())
+                known[w] += weight * (dot / (own * sum(v * v for v in m.values())) ** 0.5) ** toxic.POWER if len(w) > toxic.ORDER else 0
+        return known[w]
+
+    def score(t):
+        words, margins, now = (t or "").lower().split(), [], []
+        for k, w in enumerate(words):
+            now.append(w)
+            if w[-1] in ".!?" or len(now) == toxic.SENTENCE or k == len(words) - 1:
+                m = model.bias + sum(worth(toxic.plain(w)) for w in now)
+                for x, y in zip(now, now[1:]):
+                    x, y = toxic.plain(x)[1:-1], toxic.plain(y)[1:-1]
+                    if x and y and any((w[1], w[-2], len(w) - 2) == (x[0], y[-1], len(x) + len(y)) for w in model.landmarks):
+                        m += worth(f"\1{x}{y}\2")
+                margins.append(m)
+                now = []
+        over = sum(max(0, m - toxic.OVER) for m in margins)
+        z = [min(2, max(-2, max(margins, default=model.bias))), np.log1p(over), np.log(1e-3 + over / max(1, len(words)))]
+        return 1 / (1 + np.exp(-(np.dot(z, model.final[:-1]) + model.final[-1])))
+
+    space, least = re.compile(r"[\x20\x09-\x0D]"), lambda r: (r[0] is None, r[0] or 0)
+
+    def exact(rows):
+        groups = {}
+        for r in rows:
+            groups.setdefault(space.sub("", r[1] or ""), []).append(r)
+        return [[r for r in g if (-len(r[1] or ""), least(r)) == min((-len(q[1] or ""), least(q)) for q in g)] for g in groups.values()]
+
+    def near(rows):
+        sets = []
+        for r in rows:
+            w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+            sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        able = [k for k, s in enumerate(sets) if s and rows[k][0] is not None]
+        linked = [(a, b) for a, b in combinations(able, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        comp = components(range(len(rows)), linked)
+        groups = {}
+        for k in range(len(rows)):
+            groups.setdefault(comp[k], []).append(rows[k])
+        return [[r for r in g if least(r) == min(map(least, g))] for g in groups.values()]
+
+    def cut(rows):
+        seen, out = {}, []
+        for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            w, gone = WORD.findall(r[1] or ""), set()
+            for s in range(len(w) - 49):
+                first = seen.setdefault(tuple(w[s : s + 50]), r[0])
+                if first != r[0]:
+                    gone.update(range(s, s + 50))
+            kept = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else r[1]
+            out.append((r[0], kept, r[2], r[3], len(kept) if gone else r[4]))
+        return out
+
+    key = lambda r: r[3]
+    before = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, d).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = [tuple(r) for r in docs.collect()]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "toxicity":
+            want = [r for r in before if score(r[1]) < 0.5]
+            assert sorted(after, key=key) == sorted(want, key=key) and len(want) < len(before) - 25
+            assert not any(x in (r[1] or "") for r in after for x in ("grumpfel", "zorkwit", "blixnarg"))
+        elif name == "substring_dedup":
+            assert sorted(after, key=key) == sorted(cut(before), key=key) and any(len(a[1] or "") < len(b[1] or "") for a, b in zip(sorted(after, key=key), sorted(before, key=key)))
+        else:
+            groups = (exact if name == "exact_dedup" else near)(before)
+            assert len(after) == len(groups) < len(before)
+            assert all(sum(r in after for r in g) == 1 for g in groups)
+        before = after
+    tokens, pieces = tokenizer("word_bpe_49k.json"), corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
+    ids = [(r[0], [*tokens.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in before]
+    assert sum(p["length"] for p in pieces) == sum(len(x) for _, x in ids) and vocabulary("word_bpe_49k.json")
+    assert sum(p["start"] == 0 for p in pieces) == len(before)
+    for p in pieces:
+        assert any(i == p["doc_id"] and len(x) == p["doc_tokens"] and zlib.crc32(np.array(x[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) == p["ids_crc32"] for i, x in ids)
+    rooms = {}
+    for p in pieces:
+        rooms[p["sequence_id"]] = rooms.get(p["sequence_id"], 0) + p["length"]
+    assert all(n == 2048 for s, n in rooms.items() if s < max(rooms))
+    assert corpus_pipeline.run(spark, d).count() == len(pieces)
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
