@@ -1,9 +1,12 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-Every scan task is a memtable: it flushes one run, a Parquet file sorted by digest with a Bloom filter on the
-digest column. Compaction merges the runs by digest and keeps the best identifier and the group's size. Every
-row whose digest is held by another row too is a hit, and hits are verified by their bytes: of each digest the
-smallest and the largest normalised text must be one text. Digests that fail this are grouped by text instead.
+The log holds identifier, length and digest of every row. Every task that reads it is a memtable: its entries (a
+digest, the best identifier and length, the number of rows) are combined in the task and flushed as a run, sorted by
+digest. Compaction merges runs by digest ranges, level by level: first groups of about the square root of the runs,
+then those; of a digest that all runs hold a task so gets that many entries at most. An index file covers one range,
+is sorted by digest and has a Bloom filter on it, by which `lookup` skips files and row groups. Every row whose digest
+counts more than one is a hit, and hits are verified by their bytes: of each digest the smallest and the largest
+normalised text must be one text. Digests that fail this are grouped by text instead.
 
 Texts are equal when identical after deleting `[\\x20\\x09-\\x0D]`. Of equal texts the row with the most code
 points in its original text stays, then the smallest identifier. Null text counts as empty, and so equals texts
@@ -16,10 +19,12 @@ A hot digest is aggregated in the map tasks before any shuffle; the join back is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import scratch, written
+from .store import drop, partitions, scratch, written
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -28,21 +33,54 @@ def _best(length: str, ident: str):
     return F.max(F.struct(F.col(length), (-F.col(ident)).alias("neg")))
 
 
+class MergeIndex:
+    """Runs of entries (d, n, keep, g) merged to one table, a file a digest range."""
+
+    def __init__(self, spark: SparkSession, ranges: int) -> None:
+        self.spark, self.ranges, self.entries = spark, ranges, None
+
+    def _range(self) -> Column:
+        """Digests are evenly spread, so equal shares of their first 16 bits are equal ranges."""
+        return F.floor(F.conv(F.substring("d", 1, 4), 16, 10).cast("long") * self.ranges / 65536).cast("int")
+
+    def _merged(self, runs: DataFrame, to: Column, *by: str) -> DataFrame:
+        """Runs dealt to tasks by `to`, sorted there, and entries of one digest made one."""
+        dealt = runs.withColumn("to", to).repartitionById(self.ranges, F.col("to")).sortWithinPartitions("to", *by, "d")
+        best = dealt.groupBy("to", *by, "d").agg(F.max(F.struct("n", (-F.col("keep")).alias("neg"))).alias("b"), F.sum("g").alias("g"))
+        return best.select(*by, "d", F.col("b.n").alias("n"), (-F.col("b.neg")).alias("keep"), "g")
+
+    def build(self, log: DataFrame) -> MergeIndex:
+        """From rows i, n, d."""
+        held = log.withColumn("run", F.spark_partition_id()).groupBy("run", "d").agg(_best("n", "i").alias("b"), F.count("*").alias("g"))
+        runs = written(held.select("run", "d", F.col("b.n").alias("n"), (-F.col("b.neg")).alias("keep"), "g").sortWithinPartitions("run", "d"), "runs")
+        last = runs.agg(F.max("run")).first()[0] or 0
+        fan = max(1, math.isqrt(last + 1))
+        grouped = runs.withColumn("run", F.floor(F.col("run") / fan).cast("int"))
+        first = written(self._merged(grouped, F.pmod(self._range() + F.col("run"), F.lit(self.ranges)), "run"), "level1")
+        path = scratch(self.spark, "index")
+        whole = self._merged(first, self._range()).sortWithinPartitions("d")
+        whole.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#d": "true"}).parquet(path)
+        self.entries = self.spark.read.schema(whole.schema).parquet(path)
+        drop(runs)
+        drop(first)
+        return self
+
+    def lookup(self, digests: list[str]) -> DataFrame:
+        """Entries of some digests (lowercase hex); the reader probes the files' ranges and Bloom filters."""
+        return self.entries.filter(F.col("d").isin(digests))
+
+
 class _Index:
     """Digests of all rows, groups by digest, and groups of the digests that several texts share.
 
-    rows: i, n, t, d; runs: i, n, d; index: d, n, keep, g; apart: the same with the text t, None without such digests.
+    rows: i, n, t, d; log: i, n, d; index: d, n, keep, g; apart: the same with the text t, None without such digests.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
         spark = docs.sparkSession
         self.rows = _rows(docs, id_col, text_col)
-        path = scratch(spark, "runs")
-        flushed = self.rows.select("i", "n", "d").sortWithinPartitions("d")
-        flushed.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#d": "true"}).parquet(path)
-        self.runs = spark.read.schema(flushed.schema).parquet(path)
-        # compaction: one entry for each digest
-        self.index = written(_merged(self.runs, "d"), "compacted")
+        self.log = written(self.rows.select("i", "n", "d"), "log")
+        self.index = MergeIndex(spark, partitions(spark)).build(self.log).entries
         texts = self.rows.join(self.index.filter("g > 1").select("d"), "d", "left_semi")
         # by the digest's bytes, another key than the join's, so that Spark may split a hot digest there
         told = texts.groupBy(F.unhex("d").alias("k")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
@@ -67,7 +105,7 @@ def _merged(rows: DataFrame, *by: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 of every row of `docs`."""
     x = _Index(docs, id_col, text_col)
-    out = x.runs.select("i", "d").join(x.index.select("d", "keep", "g"), "d").select("i", "keep", "g", "d")
+    out = x.log.select("i", "d").join(x.index.select("d", "keep", "g"), "d").select("i", "keep", "g", "d")
     if x.apart is not None:
         out = out.unionByName(x.rows.select("i", "d", "t").join(x.apart.select("d", "t", "keep", "g"), ["d", "t"]).select("i", "keep", "g", "d"))
     return out.select(F.col("i").alias(id_col), F.col("keep").alias("keep_id"), F.col("g").alias("group_size"), F.col("i").eqNullSafe(F.col("keep")).alias("kept"), F.col("d").alias("text_sha256"))
@@ -91,7 +129,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             on = on & (F.col(f"r.{c}") == F.col(f"w.{c}"))
         return r.join(w, on, "left_semi")
 
-    parts = [(winners(x.index, x.runs, ["d"]), ["d"])]
+    parts = [(winners(x.index, x.log, ["d"]), ["d"])]
     if x.apart is not None:
         parts.append((winners(x.apart, x.rows, ["d", "t"]), ["d", "t"]))
     out = None

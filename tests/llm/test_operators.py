@@ -283,6 +283,26 @@ def test_exact_dedup_repeated_ids(spark, monkeypatch):
         assert all((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"]) == min(groups[(r["text"] or "").replace(" ", "")]) for r in left)
 
 
+def test_exact_dedup_index(spark):
+    """Runs of many memtables, merged: one entry a digest in ranges, found by lookup."""
+    from pyspark.sql import functions as F
+
+    from lobspark.llm.op4_exact_dedup import MergeIndex
+
+    data = [(i % 40 if i % 9 else None, i % 7, hashlib.sha256(str(0 if i % 3 == 0 else i % 50).encode()).hexdigest()) for i in range(600)]
+    log = spark.createDataFrame(data, "i long, n int, d string").repartition(23)
+    index = MergeIndex(spark, 5).build(log)
+    want = {}
+    for i, n, d in data:
+        want.setdefault(d, []).append((-n, i is None, i))
+    got = {r["d"]: (r["keep"], r["n"], r["g"]) for r in index.entries.collect()}
+    assert got == {d: (min(x)[2], -min(x)[0], len(x)) for d, x in want.items()}
+    one = data[1][2]
+    assert [r["d"] for r in index.lookup([one, "00" * 32]).collect()] == [one]
+    spans = index.entries.groupBy(F.input_file_name().alias("f")).agg(F.min("d").alias("a"), F.max("d").alias("z")).orderBy("a").collect()
+    assert len(spans) > 1 and all(x["z"] < y["a"] for x, y in zip(spans, spans[1:]))
+
+
 def test_sharding(spark):
     """The law, sizes, slots; groups that fit a shard stay whole, also with repeated and null ids and clashing columns."""
     from lobspark.llm.op5_sharding import balanced_shards, cut_edges
