@@ -303,8 +303,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     windows = scanned.filter("kind = 2").select("a", F.floor(F.shiftright("u", 32) / near).cast("long").alias("g"), "d", "u", "n", "k")
     by_group = written(met(windows), "by_group")
     left = by_group.filter("kind = 2").select("a", "d", "u", "n", "k")
+    # written, so that the join below may broadcast it if it is small, and else split a hot anchor
     hot = left.groupBy("a").agg(F.sum(F.length("k") / 8).alias("z")).filter(F.col("z") > HOT).select("a", F.ceil(F.col("z") * 4 / HOT).cast("long").alias("buckets"))
-    left = left.join(hot, "a", "left")
+    left = left.join(written(hot, "hot"), "a", "left")
     each = left.filter("buckets is not null").select("*", F.explode(F.expr("sequence(0, int(length(k) / 8) - 1)")).alias("j"))
     each = each.withColumn("k", F.expr("substring(k, 8 * j + 1, 8)")).withColumn("n", F.col("n") + F.col("j")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("buckets")))
     columns = ["a", "g", "d", "u", "n", "k"]
@@ -346,12 +347,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with what is left of their texts; a text that loses nothing stays as it is."""
+    """All documents with what is left of their texts, and its length as n_chars where there is such a column; a text that loses nothing stays as it is."""
     # the row's own columns go along under other names, its identifier in its own type too
     named = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c != "text"}
     plain = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in named.items() if c != "doc_id"], F.col("doc_id").alias(named["doc_id"]))
     out = remove_repeats(plain, carry=tuple(named.values()), as_is=True)
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col(named["n_chars"])).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)}
+    new = {"text": F.col("text")}
+    if "n_chars" in named:
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col(named["n_chars"])).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[(new[c] if c in new else F.col(named[c])).alias(c) for c in docs.columns])
 
 
