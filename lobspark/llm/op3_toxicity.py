@@ -182,8 +182,8 @@ def tokens(text: str) -> list[str]:
 class Lexicon:
     """Numbers for words, and which words end a sentence or may be halves of a landmark. value_of: a word's value (a row or a number)."""
 
-    def __init__(self, landmarks: list[str], value_of) -> None:
-        self.value_of = value_of
+    def __init__(self, landmarks: list[str], value_of, keep: bool = False) -> None:
+        self.value_of, self.keep = value_of, keep  # keep: the letters of all words, not only of those that may be halves
         self.halves = {(w[1], w[-2], len(w) - 2) for w in landmarks}
         self.firsts, self.lasts = {h[0] for h in self.halves}, {h[1] for h in self.halves}
         self.clear()
@@ -204,7 +204,11 @@ class Lexicon:
         self.begins = np.concatenate([self.begins, np.fromiter((w[1] in self.firsts for w in marked), bool, len(words))])
         self.ends = np.concatenate([self.ends, np.fromiter((w[-2] in self.lasts for w in marked), bool, len(words))])
         self.number.update(zip(words, range(len(self.bare), len(self.bare) + len(words))))
-        self.bare += [w[1:-1] for w in marked]
+        new = np.flatnonzero(self.begins[-len(words) :] | self.ends[-len(words) :]).tolist() if words and not self.keep else range(len(words))
+        letters = [""] * len(words)
+        for k in new:
+            letters[k] = marked[k][1:-1]
+        self.bare += letters
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words' numbers; of each sentence its first word and its text; first words and values of neighbours read as one."""
@@ -313,26 +317,29 @@ def train(texts: list[str], labels: list[int], landmarks: int = 64, support: int
     if not chosen:
         return None
     kernel = Words(chosen)
-    lexicon = Lexicon(chosen, kernel.rows)
+    lexicon = Lexicon(chosen, kernel.rows, keep=True)
     features, docs, counts, words_of = [], [], [], []
-    for at in range(0, len(texts), 200):
-        ids, start, doc, pair, extra = lexicon.read(texts[at : at + 200])
-        counts.append(np.zeros(min(200, len(texts) - at)))
+    for at in range(0, len(texts), 50):
+        ids, start, doc, pair, extra = lexicon.read(texts[at : at + 50])
+        counts.append(np.zeros(min(50, len(texts) - at)))
         if len(ids):
             x = np.add.reduceat(lexicon.values[ids], start, axis=0)
             np.add.at(x, np.searchsorted(start, pair, "right") - 1, extra)
             counts[-1] += np.bincount(doc, np.diff(np.append(start, len(ids))), len(counts[-1]))
             features.append(x)
             docs.append(at + doc)
-            words_of += [[lexicon.bare[i] for i in of.tolist()] for of in np.split(ids, start[1:])]
+            words_of += [of.astype(np.int32) if labels[at + k] else None for of, k in zip(np.split(ids, start[1:]), doc.tolist())]
     if not features:
         return None
-    x, doc, words = np.concatenate(features).astype(np.float64), np.concatenate(docs), np.concatenate(counts)
+    bare = lexicon.bare
+    del lexicon  # the driver's memory is small
+    x, doc, words = np.concatenate(features), np.concatenate(docs), np.concatenate(counts)
+    del features
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     own = kernel.rows(chosen).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     white = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4 * value.max()))) @ vector.T
-    nystroem, margin = x @ white, x.sum(1)  # at first, the sentence likest to any landmark
+    margin = x.sum(1, dtype=np.float64)  # at first, the sentence likest to any landmark
     hard, rng = np.zeros(len(margin), bool), random.Random(0)
     for _ in range(rounds):
         order = np.lexsort((-margin, doc))
@@ -343,11 +350,11 @@ def train(texts: list[str], labels: list[int], landmarks: int = 64, support: int
         best = order[toxic & (rank == 0)]
         used = np.concatenate([best, np.flatnonzero(hard)])
         # each positive sentence once more, with letters put into every word
-        bent = [[longer(w, rng) for w in words_of[k]] for k in best.tolist()]
+        bent = [[longer(bare[i], rng) for i in words_of[k].tolist()] for k in best.tolist()]
         flat = kernel.rows([w for words in bent for w in words])
         again = np.add.reduceat(flat, np.cumsum([0, *map(len, bent)])[:-1], axis=0) @ white
-        w, b = squared_hinge(np.concatenate([nystroem[used], again]), np.concatenate([y[doc[used]], np.ones(len(best))]))
-        margin = nystroem @ w + b
+        w, b = squared_hinge(np.concatenate([x[used] @ white, again]), np.concatenate([y[doc[used]], np.ones(len(best))]))
+        margin = x @ (white @ w).astype(np.float32) + b
     final = logistic(statistics(margin, doc, words, b), y)
     return Model(chosen, white @ w, b, final)
 
@@ -355,7 +362,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 64, support: int
 class Scorer:
     """Scores of texts. most: words remembered."""
 
-    def __init__(self, model: Model, most: int = 800_000) -> None:
+    def __init__(self, model: Model, most: int = 500_000) -> None:
         self.model, self.most = model, most
         words = Words(model.landmarks)
         self.lexicon = Lexicon(model.landmarks, lambda new: words.sums(new, model.weights))
