@@ -1,4 +1,4 @@
-"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+"""Each operator against brute force, the tokenizers library, held-out labels or its SQL, on small tables with odd rows."""
 
 import hashlib
 import random
@@ -506,6 +506,45 @@ def test_packing(spark, rows):
     assert sorted(rooms) == list(range(len(rooms))) and pack(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["toxicity", "token files", "packing", "bpe"])
+def test_clashing_columns_and_repeated_ids(spark, tmp_path, name):
+    """Columns named as the operators' own, identifiers that repeat or are null, ties, and a very long text: one result a row."""
+    from lobspark.llm import op3_toxicity, op6_token_binary, op9_packing, op10_bpe
+
+    long = " ".join(f"word{k % 977}" for k in range(60_000))
+    data = [(1, "one two", 1, "i", 0.5), (1, "one two", 2, "t", 0.5), (1, "three", 3, "ids", 0.0), (None, "four", 4, "n", 0.1), (None, None, 5, "part", 0.2), (2, "", 6, "before", 0.3), (3, long, 7, "start", 0.4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n int, ids string, score double").repartition(3)
+    texts = sorted((str(i), t or "") for i, t, *_ in data)
+    if name == "toxicity":
+        model = op3_toxicity.train(["bad grumpfel here", "so zorkwit", "grumpfel zorkwit"] * 4 + ["all is well", "fine day", "three"] * 4, [1] * 12 + [0] * 12)
+        out = op3_toxicity.toxicity(docs, model).collect()
+        assert sorted(str(r["doc_id"]) for r in out) == [i for i, _ in texts] and all(0 <= r["score"] <= 1 for r in out)
+        assert len({r["score"] for r in out if r["doc_id"] == 1}) <= 2
+        return
+    t = tokenizer("byte_bpe_50k.json" if name == "bpe" else "word_bpe_49k.json")
+    ids = {x: t.encode(x, add_special_tokens=False).ids for _, x in texts}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    if name == "bpe":
+        out = op10_bpe.bpe_digest(docs, op10_bpe.vocabulary("byte_bpe_50k.json")).collect()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        want = [(i, len(ids[x]), sha(np.array(ids[x], "<u4").tobytes()), sha(t.decode(ids[x], skip_special_tokens=False).encode())) for i, x in texts]
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out) == sorted(want)
+    elif name == "packing":
+        out = op9_packing.pack(docs, op10_bpe.vocabulary("word_bpe_49k.json"), length=100_000).collect()
+        whole = [(str(r["doc_id"]), r["doc_tokens"], r["ids_crc32"]) for r in out if r["length"] == r["doc_tokens"]]
+        want = [(i, len(ids[x]) + 1, crc([*ids[x], 1])) for i, x in texts]
+        assert sum(r["length"] for r in out) == sum(n for _, n, _ in want) and set(whole) <= set(want) and len(whole) >= 6
+    else:
+        url = f"file://{tmp_path}/tokens"
+        op6_token_binary.write_token_files(docs, op10_bpe.vocabulary("word_bpe_49k.json"), url)
+        out = op6_token_binary.read_token_files(spark, url).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in out) == sorted((i, len(ids[x]) + 1, crc([*ids[x], 2])) for i, x in texts)
+        at = 0
+        for r in sorted(out, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["n_tokens"]
+
+
 def test_bpe(spark, rows):
     from lobspark.llm.op10_bpe import bpe_decode, bpe_digest, bpe_encode, vocabulary
 
@@ -517,6 +556,7 @@ def test_bpe(spark, rows):
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in data}
     assert {r["doc_id"]: r["decoded"] for r in bpe_decode(encoded, path).collect()} == {i: t.decode(got[i], skip_special_tokens=False) for i, _ in data}
     for r in bpe_digest(docs, path).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(got[r["doc_id"]], skip_special_tokens=False).encode()).hexdigest()
         assert r["n_tokens"] == len(got[r["doc_id"]]) and r["ids_sha256"] == hashlib.sha256(np.array(got[r["doc_id"]], "<u4").tobytes()).hexdigest()
     assert bpe_digest(empty(spark), path).count() == 0
 
