@@ -183,7 +183,7 @@ def pipeline(spark: SparkSession, path: str, options: dict) -> tuple[Report, boo
     out, messages, _ = file_report(spark, path, frames)
     began = time.time()
     m = feed.messages(frames).persist()
-    changes = session.top_changes(book.replay(m)).persist()
+    changes = book.replay(m, changes=True).persist()
     rows = session.imbalance(changes, m).persist()
     updates, minutes = changes.count(), rows.count()
     s = time.time() - began

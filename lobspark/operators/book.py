@@ -50,7 +50,7 @@ def chain_roots(rows: DataFrame, rounds: int = 64) -> DataFrame:
 
 def replace_roots(messages: DataFrame) -> DataFrame:
     """trade_date, ref, root, hops: the first order of every order's replace chain; a row for each order, also of one reference."""
-    rows = lives(messages)
+    rows = written(lives(messages), "lives")
     orders = rows.filter("k = 'c'").select("trade_date", "ref", "made")
     roots = orders.join(chain_roots(rows), ["trade_date", "made"], "left").withColumn("root", F.coalesce("root", "made"))
     first = orders.select("trade_date", F.col("ref").alias("first"), F.col("made").alias("root"))
@@ -66,7 +66,7 @@ def origins(rows: DataFrame) -> DataFrame:
 
 def own_locates(messages: DataFrame) -> DataFrame:
     """Messages whose executions, cancels, deletes and replaces carry their order's locate, whatever their header names."""
-    rows = lives(messages)
+    rows = written(lives(messages), "lives")
     own = rows.filter("k <> 'c'").select("trade_date", "off", "made").join(origins(rows).select("trade_date", "made", F.col("locate").alias("own")), ["trade_date", "made"])
     return messages.join(own.select("trade_date", "off", "own"), ["trade_date", "off"], "left").withColumn("locate", F.coalesce("own", "locate")).select(*messages.columns)
 
@@ -76,7 +76,7 @@ def deltas(messages: DataFrame) -> DataFrame:
 
     For feeds without anomalies. A message acts on its order's own locate, side and price.
     """
-    rows = lives(messages)
+    rows = written(lives(messages), "lives")
     life = W.partitionBy("trade_date", "made").orderBy("off", F.col("k") != "c").rowsBetween(W.unboundedPreceding, 0)
     change = F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares"))
     of = rows.filter("made is not null").drop("locate", "side").join(origins(rows), ["trade_date", "made"])
@@ -183,29 +183,34 @@ class Book:
 FOLD = pa.schema([("trade_date", pa.date32()), ("locate", pa.int32()), ("off", pa.int64()), ("ts_ns", pa.int64()), ("anomaly", pa.string()), ("live", pa.int64()), *((c, pa.int64()) for c in TOP)])
 
 
-def replay(messages: DataFrame, num_locates: int | None = None) -> DataFrame:
+def replay(messages: DataFrame, num_locates: int | None = None, changes: bool = False) -> DataFrame:
     """The exact fold: one row for each book event, with its anomaly, live orders of the locate and top of book.
 
     A task walks its symbols' days one after another, message by message; what it holds is one book and a batch.
     Adds with a locate of `num_locates` and more, if given, are anomalies. Messages of an order are taken to carry
-    its locate, as on a clean feed; `own_locates` makes them so.
+    its locate, as on a clean feed; `own_locates` makes them so. changes: only rows whose top of book differs from the
+    one before in their symbol's day (empty at first), as `session.top_changes` gives, but without a shuffle of the rest.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, book = None, Book()
+        key, book, last = None, Book(), (0,) * 6
         for batch in batches:
             out: list[list] = [[] for _ in FOLD]
             add = [c.append for c in out]
             numbers = [batch.column(k).fill_null(0).to_pylist() for k in range(5, 10)]
             for day, locate, off, ts, kind, *v in zip(*(batch.column(k).to_pylist() for k in range(5)), *numbers):
                 if (day, locate) != key:
-                    key, book = (day, locate), Book()
+                    key, book, last = (day, locate), Book(), (0,) * 6
                 ref, new_ref, side, shares, price = v
                 if num_locates is not None and locate >= num_locates and kind in "AF" and shares:
                     odd = "bad_locate"
                 else:
                     odd = book.apply(kind, ref, new_ref, side, shares, price)
-                for f, x in zip(add, (day, locate, off, ts, odd, len(book.orders), *book.best(0), *book.best(1))):
+                top = (*book.best(0), *book.best(1))
+                if changes and top == last:
+                    continue
+                last = top
+                for f, x in zip(add, (day, locate, off, ts, odd, len(book.orders), *top)):
                     f(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, FOLD)], schema=FOLD)
 

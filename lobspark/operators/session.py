@@ -26,7 +26,7 @@ def halts(messages: DataFrame) -> DataFrame:
 def with_state(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """Rows of (trade_date, locate, off) with open, halted and segment: how many flush triggers came before."""
     marks = messages.filter("type = 'S' and code in ('Q', 'M')").groupBy("trade_date").agg(F.sort_array(F.collect_list(F.struct("off", "code"))).alias("marks"))
-    rows = rows.join(F.broadcast(marks), "trade_date", "left")  # a few messages a day
+    rows = rows.join(F.broadcast(marks), "trade_date", "left")  # one row a day, of its few session messages: kilobytes for decades
     before = F.filter(F.coalesce("marks", F.array().cast("array<struct<off:bigint,code:string>>")), lambda m: m["off"] < F.col("off"))
     rows = rows.withColumn("__b", before).withColumn("open", F.coalesce(F.try_element_at("__b", F.lit(-1))["code"] == "Q", F.lit(False))).withColumn("__closes", F.size(F.filter("__b", lambda m: m["code"] == "M"))).drop("__b", "marks")
     w = W.partitionBy(*LOCATE).orderBy("off", "__h").rowsBetween(W.unboundedPreceding, 0)

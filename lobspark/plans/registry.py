@@ -76,7 +76,7 @@ def _gaps(m: DataFrame) -> DataFrame:
 
 
 def _ofi(m: DataFrame, minutes: int = 1) -> DataFrame:
-    return session.imbalance(session.top_changes(book.replay(m)), m, minutes)
+    return session.imbalance(book.replay(m, changes=True), m, minutes)
 
 
 def _ofi_csv(m: DataFrame) -> DataFrame:

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import elapsed
 from ..functions.wire import BOOK
 from ..operators.book import Book
 
@@ -85,6 +87,13 @@ class Symbol:
         s["mid"] = mid
 
 
+def handoff(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """batch, rows, elapsed (ns from a batch's trigger to its rows being out, 0 where clocks ran back) and skewed of a query's recent batches."""
+    rows = [(p["batchId"], p["numInputRows"], int(p["durationMs"].get("triggerExecution", 0))) for p in query.recentProgress]
+    told = spark.createDataFrame(rows, "batch long, rows long, ms long")
+    return told.select("batch", "rows", (elapsed(F.lit(0), F.col("ms")) * 1_000_000).alias("elapsed"), (F.col("ms") < 0).alias("skewed"))
+
+
 def end_markers(messages: DataFrame) -> DataFrame:
     """One end message (S, code C) for each day of a table of messages, after its last one: put behind the messages, it has the stream tell its last groups."""
     last = messages.groupBy("trade_date").agg(F.max("off").alias("off"), F.max("ts_ns").alias("ts_ns"))

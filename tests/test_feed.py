@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lobspark.operators import book, session
 from lobspark.sources import bridge, feed, synthetic
-from lobspark.streaming.imbalance import imbalance_stream
+from lobspark.streaming.imbalance import handoff, imbalance_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,7 @@ def test_generator_has_no_anomalies(spark, day):
     m = feed.messages(feed.read_feed(spark, day[0]))
     assert book.replay(m).filter("anomaly <> ''").isEmpty()
     assert not session.imbalance(session.top_changes(book.replay(m)), m).isEmpty()
+    assert rows(session.top_changes(book.replay(m))) == rows(book.replay(m, changes=True))
 
 
 def test_tails_zero_lengths_and_gzip(spark, tmp_path):
@@ -77,6 +78,63 @@ def test_stream_equals_batch(spark, day, tmp_path):
     assert query.awaitTermination(200)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.filter("anomaly is not null").isEmpty()
+    told = handoff(spark, query).filter("rows > 0").collect()
+    assert len(told) == 3 and all(r["elapsed"] > 0 and not r["skewed"] for r in told)
     want = session.imbalance(session.top_changes(book.replay(m.drop("third"))), m)
     names = ["trade_date", "locate", "minute", "ofi", "events", "mid_open", "mid_close"]
     assert rows(got.select(names)) == rows(want.select(names))
+
+
+def test_types_wide_and_tables(spark, day, tmp_path):
+    """Only some types leave the reader; every field by name; unknown types keep their type; ranges shorter than a frame."""
+    path, made = day
+    all_rows = feed.read_feed(spark, path)
+    some = feed.read_feed(spark, path, 50_000, types="AR")
+    assert rows(some.select("off", "payload")) == rows(all_rows.filter("type in ('A', 'R')").select("off", "payload"))
+    r = feed.table(all_rows, "R").first()
+    assert (r["market_category"], r["round_lot_size"], r["issue_subtype"], r["etp_leverage_factor"], r["inverse_indicator"]) == ("Q", 100, "Z ", 0, "N")
+    m = feed.wide(all_rows)
+    want = feed.messages(all_rows).select("trade_date", "off", "type", "locate", "ts_ns", "shares")
+    assert rows(m.select("trade_date", "off", "type", "locate", "ts_ns", F.col("shares").cast("long"))) == rows(want)
+    frame = lambda load: len(load).to_bytes(2, "big") + load
+    (tmp_path / "2024-01-02.x").write_bytes(frame(b"zodd") + frame(synthetic.pack("P", match=(1 << 64) - 1, tracking=65535, price=(1 << 32) - 1)) + frame(b"A\0"))
+    got = feed.wide(feed.read_feed(spark, str(tmp_path))).orderBy("off").collect()
+    assert [(r["type"], r["match"], r["tracking"], r["price"]) for r in got] == [("z", None, None, None), ("P", (1 << 64) - 1, 65535, (1 << 32) - 1)]
+    one = tmp_path / "small"
+    one.mkdir()
+    (one / "2024-01-02.y").write_bytes(b"".join(frame(synthetic.pack("A", ref=k)) for k in range(50)))
+    assert feed.read_feed(spark, str(one), 10).count() == 50
+
+
+def test_relational_book_on_reused_references(spark):
+    """The last depth of both books where references are used again after their orders died, and replaced by themselves."""
+    import datetime
+    import random
+
+    from lobspark.operators.book import Book, depth_snapshot
+
+    rng, model, out, live = random.Random(5), {1: Book(), 2: Book()}, [], {}
+    for off in range(1, 1500):
+        locate = rng.choice((1, 2))
+        mine = [r for r, at in live.items() if at == locate]
+        free = [r for r in range(40) if r not in live]
+        kind = rng.choice("AAEXDU") if mine else "A"
+        ref, shares, price, side = (rng.choice(mine) if kind != "A" else rng.choice(free)) if (mine or free) else 0, rng.randrange(1, 5) * 100, rng.randrange(95, 105), rng.randrange(2)
+        new = None
+        if kind == "A":
+            live[ref] = locate
+        elif kind == "U":
+            new = rng.choice([*free, ref])
+            del live[ref]
+            live[new] = locate
+        elif kind in "EX":
+            shares = min(shares, model[locate].orders[ref][2])
+        model[locate].apply(kind, ref, new or 0, side, shares, price)
+        if kind in "DEX" and ref not in model[locate].orders:
+            del live[ref]
+        out.append((datetime.date(2024, 1, 2), off, kind, locate, ref, new, side if kind == "A" else None, None if kind == "D" else shares, price if kind in "AU" else None))
+    messages = spark.createDataFrame(out, "trade_date date, off long, type string, locate int, ref long, new_ref long, side int, shares long, price long")
+    got = {(r["locate"], r["side"], r["price"]): (r["qty"], r["orders"]) for r in depth_snapshot(messages).collect()}
+    assert got == {(k, s, p): tuple(v) for k, b in model.items() for s in (0, 1) for p, v in b.levels[s].items()} and len(got) > 5
+    roots = book.replace_roots(messages).collect()
+    assert len(roots) == sum(k in "AU" for _, _, k, *_ in out) and max(r["hops"] for r in roots) > 3
