@@ -31,17 +31,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: the edges of a round are at most those of the round before,
     and their number of rounds is logarithmic in practice. Hubs are joined, not grouped: minima are aggregated
-    in the map tasks first and Spark may split a skewed side of the join.
+    in the map tasks first, and joined by another key than they are grouped by, so that Spark may split a hub there.
     """
+    key = F.bitwise_not("u")
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(key.alias("c"), F.least("u", "m").alias("m"))
+        large = both.join(low, key == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.select(key.alias("c"), "m"), key == F.col("c")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
         drop(e)
         drop(large)
