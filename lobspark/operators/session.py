@@ -46,10 +46,10 @@ def top_changes(tops: DataFrame) -> DataFrame:
 
 
 def imbalance(changes: DataFrame, messages: DataFrame, minutes: int = 1) -> DataFrame:
-    """Order flow imbalance: trade_date, locate, minute (the interval's first), ofi, events, mid_open, mid_close.
+    """Order flow imbalance: trade_date, locate, minute (the interval's first), ofi, events, mid_open, mid_close, first.
 
     A group ends with its interval, with a halt of its symbol, with the close and with the day, so an interval
-    may have several rows; those without events are left out.
+    may have several rows, told apart by `first`, the off of the group's first row; those without events are left out.
     """
     w = W.partitionBy(*LOCATE).orderBy("off")
     rows = changes
@@ -64,7 +64,7 @@ def imbalance(changes: DataFrame, messages: DataFrame, minutes: int = 1) -> Data
     rows = rows.withColumn("mid_before", F.nullif(F.lag("mid").over(w), F.lit(0.0)))
     part = W.partitionBy(*LOCATE, "segment").orderBy("off")
     rows = rows.withColumn("new", F.when(F.lag("minute").over(part) == F.col("minute"), 0).otherwise(1)).withColumn("run", F.sum("new").over(part.rowsBetween(W.unboundedPreceding, 0)))
-    found = rows.groupBy(*LOCATE, "segment", "run").agg(F.min("minute").alias("minute"), F.sum(F.when(F.col("was"), F.col("e")).otherwise(0)).cast("long").alias("ofi"), F.count_if("was").alias("events"), F.min_by(F.coalesce("mid_before", "mid"), "off").alias("mid_open"), F.max_by("mid", "off").alias("mid_close"))
+    found = rows.groupBy(*LOCATE, "segment", "run").agg(F.min("minute").alias("minute"), F.sum(F.when(F.col("was"), F.col("e")).otherwise(0)).cast("long").alias("ofi"), F.count_if("was").alias("events"), F.min_by(F.coalesce("mid_before", "mid"), "off").alias("mid_open"), F.max_by("mid", "off").alias("mid_close"), F.min("off").alias("first"))
     return found.filter("events > 0").drop("segment", "run")
 
 

@@ -75,10 +75,14 @@ def _gaps(m: DataFrame) -> DataFrame:
     return rows.select("type", scalars.elapsed(F.floor(F.col("before") / 1000), F.floor(F.col("ts_ns") / 1000)).alias("gap"))
 
 
-def _ofi(m: DataFrame, minutes: int = 1) -> DataFrame:
+def _groups(m: DataFrame, minutes: int = 1) -> DataFrame:
     return session.imbalance(book.replay(m, changes=True), m, minutes)
 
 
+def _ofi(m: DataFrame, minutes: int = 1) -> DataFrame:
+    return _groups(m, minutes).drop("first")
+
+
 def _ofi_csv(m: DataFrame) -> DataFrame:
     rows = session.named(_ofi(m), m)
     return rows.select("symbol", scalars.hh_mm(F.col("minute")).alias("minute"), "ofi", "events", "mid_open", "mid_close", "trade_date").orderBy("trade_date", "symbol", "minute")
@@ -132,7 +136,7 @@ def _csv(spark: SparkSession, d: str) -> DataFrame:
     """Order flow imbalance through the CSV sink, read back as text; line: the row's place in its day's file."""
     path = scratch(spark, "csv")
     m = bridge.messages(spark, d)
-    feed.write_csv(session.named(_ofi(m), m), path)
+    feed.write_csv(session.named(_groups(m), m), path)
     rows = spark.read.option("header", True).option("inferSchema", False).schema("symbol string, minute string, ofi string, events string, mid_open string, mid_close string, trade_date date").csv(path)
     rows = rows.withColumn("line", F.monotonically_increasing_id())
     return rows.withColumn("line", F.row_number().over(W.partitionBy("trade_date").orderBy("line")))

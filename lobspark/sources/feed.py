@@ -293,9 +293,9 @@ def encoded(messages: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Order flow imbalance (with locate, symbol, minute) as CSV, sorted by locate and minute; mids have four digits, rounded as C does."""
+    """Order flow imbalance (with locate, symbol, minute, first) as CSV, sorted by locate, minute and, as a halt may split a minute, first; mids have four digits, rounded as C does."""
     text = lambda c: F.replace(F.format_number(c, 4), F.lit(","), F.lit(""))
     clock = F.concat(F.lpad(F.floor(F.col("minute") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("minute") % 60).cast("string"), 2, "0"))
-    out = rows.select("trade_date", "locate", F.col("minute").alias("m"), "symbol", clock.alias("minute"), "ofi", "events", text("mid_open").alias("mid_open"), text("mid_close").alias("mid_close"))
-    out = out.repartition("trade_date").sortWithinPartitions("trade_date", "locate", "m")  # a file a day, of a row a symbol and minute
-    out.drop("locate", "m").write.mode("overwrite").partitionBy("trade_date").option("header", True).csv(path)
+    out = rows.select("trade_date", "locate", F.col("minute").alias("m"), "symbol", clock.alias("minute"), "ofi", "events", text("mid_open").alias("mid_open"), text("mid_close").alias("mid_close"), "first")
+    out = out.repartition("trade_date").sortWithinPartitions("trade_date", "locate", "m", "first")  # a file a day, of a row a symbol and minute
+    out.drop("locate", "m", "first").write.mode("overwrite").partitionBy("trade_date").option("header", True).csv(path)

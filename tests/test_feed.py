@@ -85,6 +85,21 @@ def test_stream_equals_batch(spark, day, tmp_path):
     assert rows(got.select(names)) == rows(want.select(names))
 
 
+def test_csv_order_of_a_minute_split_by_halts(spark, tmp_path):
+    import datetime
+
+    at, out = datetime.date(2024, 1, 2), [("S", 0, None, None, None, None, "Q"), ("A", 1, 1, 0, 100, 90_000, None), ("A", 1, 2, 1, 100, 91_000, None)]
+    for k in range(60):  # each group adds k + 1 shares to the bid
+        out += [("H", 1, None, None, None, None, "H"), ("H", 1, None, None, None, None, "T"), ("A", 1, 10 + k, 0, k + 1, 90_000, None)]
+    cells = [(at, off, kind, locate, 36_000 * 10**9, ref, None, side, shares, price, None, code) for off, (kind, locate, ref, side, shares, price, code) in enumerate(out, 1)]
+    m = spark.createDataFrame(cells, "trade_date date, off long, type string, locate int, ts_ns long, ref long, new_ref long, side int, shares long, price long, stock string, code string")
+    found = session.named(session.imbalance(book.replay(m, changes=True), m), m)
+    found = spark.createDataFrame(sorted(found.collect(), key=lambda r: -r["ofi"]), found.schema)
+    feed.write_csv(found, str(tmp_path / "out"))
+    lines = [line.split(",") for file in (tmp_path / "out").rglob("*.csv") for line in file.read_text().splitlines()[1:]]
+    assert [line[:4] for line in lines] == [["locate 1", "10:00", str(k + 1), "1"] for k in range(60)]
+
+
 def test_types_wide_and_tables(spark, day, tmp_path):
     """Only some types leave the reader; every field by name; unknown types keep their type; ranges shorter than a frame."""
     path, made = day
