@@ -14,6 +14,7 @@ from ..functions.wire import BOOK
 from ..scratch import drop, written
 
 KEY = ["trade_date", "locate"]
+FAN = 16  # levels or winners that meet in one round of `side_tops`
 TOP = ["bid_px", "bid_orders", "bid_qty", "ask_px", "ask_orders", "ask_qty"]
 
 
@@ -98,19 +99,40 @@ def depth_snapshot(messages: DataFrame) -> DataFrame:
     return deltas(messages).groupBy("trade_date", "locate", "side", "price").agg(F.sum("dq").cast("long").alias("qty"), F.sum("dn").cast("long").alias("orders")).filter("orders > 0")
 
 
-def top_relational(messages: DataFrame) -> DataFrame:
-    """Top of book after every book event, from the intervals in which levels live.
+def side_tops(levels: DataFrame) -> DataFrame:
+    """trade_date, locate, side, off, orders, price, qty: the best level of a side after every message that changes it; orders is 0 while it is empty.
 
-    A cross-check of `replay` for days of modest size: of each symbol's day every event meets every level's interval.
+    A tournament over ranks of prices: each round joins FAN neighbours, of which the best with orders wins, and only
+    changes of the winner go on. Rows only get fewer, and log(prices) rounds are needed, each a window over the changes.
     """
-    w = W.partitionBy("trade_date", "locate", "side", "price").orderBy("off")
-    levels = level_depth(messages).withColumn("until", F.lead("off").over(w)).filter("orders > 0").withColumnRenamed("off", "since")
-    at = messages.filter(F.col("type").isin(*BOOK)).select("trade_date", "locate", "off")
-    live = at.join(levels, KEY).filter("since <= off and (until is null or off < until)")
-    best = lambda s, f: f(F.when(F.col("side") == s, F.struct("price", "orders", "qty")))
-    found = live.groupBy("trade_date", "locate", "off").agg(best(0, F.max).alias("b"), best(1, F.min).alias("a"))
-    full = at.join(found, ["trade_date", "locate", "off"], "left")
-    return full.select("trade_date", "locate", "off", *[F.coalesce(f"{c}.{f}", F.lit(0)).cast("long").alias(f"{n}_{g}") for c, n in (("b", "bid"), ("a", "ask")) for f, g in (("price", "px"), ("orders", "orders"), ("qty", "qty"))])
+    levels = written(levels.filter("side in (0, 1) and price is not null and locate is not null"), "levels")
+    ranks = levels.select(*KEY, "side", "price").distinct()
+    by = W.partitionBy(*KEY, "side").orderBy(F.when(F.col("side") == 0, -F.col("price")).otherwise(F.col("price")))
+    ranks = written(ranks.withColumn("node", (F.row_number().over(by) - 1).cast("long")), "ranks")
+    most = ranks.agg(F.max("node")).first()[0] or 0
+    rows = levels.join(ranks, [*KEY, "side", "price"]).select(*KEY, "side", "node", "off", F.struct("orders", "price", "qty").alias("s"))
+    while True:
+        w = W.partitionBy(*KEY, "side", "up").orderBy("off", "slot")
+        rows = rows.select(*KEY, "side", F.floor(F.col("node") / FAN).alias("up"), (F.col("node") % FAN).alias("slot"), "off", "s")
+        slots = [F.last(F.when(F.col("slot") == k, F.col("s")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) for k in range(FAN)]
+        rows = rows.select(*KEY, "side", "up", "slot", "off", F.lead("off").over(w).alias("next"), *[c.alias(f"s{k}") for k, c in enumerate(slots)])
+        won = F.coalesce(*[F.when(F.col(f"s{k}.orders") > 0, F.col(f"s{k}")) for k in range(FAN)], F.struct(F.lit(0).cast("long").alias("orders"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("qty")))
+        rows = rows.filter("next is null or next <> off").select(*KEY, "side", "up", "slot", "off", won.alias("s"))
+        rows = rows.withColumn("was", F.lag("s").over(w)).filter("not s <=> was").select(*KEY, "side", F.col("up").alias("node"), "off", "s")
+        if most < FAN:
+            return rows.select(*KEY, "side", "off", "s.*")
+        most //= FAN
+
+
+def top_relational(messages: DataFrame) -> DataFrame:
+    """Top of book after every book event, by windows over the levels' changes alone: a cross-check of `replay`."""
+    tops = side_tops(level_depth(messages)).withColumn("at", F.lit(0))
+    at = messages.filter(F.col("type").isin(*BOOK)).select(*KEY, "off", F.lit(1).alias("at"))
+    both = tops.unionByName(at, allowMissingColumns=True)
+    w = W.partitionBy(*KEY).orderBy("off", "at").rowsBetween(W.unboundedPreceding, 0)
+    of = lambda side, c: F.last(F.when(F.col("side") == side, F.col(c)), ignorenulls=True).over(w)
+    cells = [F.coalesce(of(side, c), F.lit(0)).cast("long").alias(f"{n}_{g}") for side, n in ((0, "bid"), (1, "ask")) for c, g in (("price", "px"), ("orders", "orders"), ("qty", "qty"))]
+    return both.select(*KEY, "off", "at", *cells).filter("at = 1").drop("at")
 
 
 class Book:

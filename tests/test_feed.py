@@ -153,3 +153,31 @@ def test_relational_book_on_reused_references(spark):
     assert got == {(k, s, p): tuple(v) for k, b in model.items() for s in (0, 1) for p, v in b.levels[s].items()} and len(got) > 5
     roots = book.replace_roots(messages).collect()
     assert len(roots) == sum(k in "AU" for _, _, k, *_ in out) and max(r["hops"] for r in roots) > 3
+
+
+def test_relational_top_on_many_levels(spark):
+    """Every top of both books over hundreds of prices, replaces and sides that empty; no plan in which events meet levels by an inequality."""
+    import datetime
+    import random
+
+    at, rng, model, out, live, want = datetime.date(2024, 1, 2), random.Random(7), {1: book.Book(), 2: book.Book()}, [], {}, {}
+    for off in range(1, 2000):
+        locate = rng.choice((1, 1, 1, 2))
+        mine = [r for r, of in live.items() if of == locate]
+        kind = rng.choice("AAAEXDUU" if off // 300 % 2 == 0 else "ADDDDEXU") if mine else "A"
+        ref, new, side, shares, price = rng.choice(mine) if kind != "A" else 2 * off, 2 * off + 1, rng.randrange(2), rng.randrange(1, 5) * 100, rng.randrange(1, 3000)
+        if kind in "EX":
+            shares = min(shares, model[locate].orders[ref][2])
+        assert model[locate].apply(kind, ref, new, side, shares, price) == ""
+        live = {r: k for k, b in model.items() for r in b.orders}
+        out.append((at, off, kind, locate, ref, new if kind == "U" else None, side if kind == "A" else None, None if kind == "D" else shares, price if kind in "AU" else None))
+        want[off] = (locate, *model[locate].best(0), *model[locate].best(1))
+    schema = "trade_date date, off long, type string, locate int, ref long, new_ref long, side int, shares long, price long"
+    found = book.top_relational(spark.createDataFrame(out, schema))
+    assert {r["off"]: (r["locate"], *(r[c] for c in book.TOP)) for r in found.collect()} == want
+    assert len({r[8] for r in out if r[3] == 1}) > 512 and any(w[2] == 0 for w in want.values())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "<" in line]
+    odd = [(at, 1, "A", 1, 1, None, 1, 100, None), (at, 2, "A", 1, 2, None, 1, 200, 50), (at, 3, "A", None, 3, None, 0, 100, 40)]  # a level without a price is none
+    tops = {r["off"]: tuple(r[c] for c in book.TOP) for r in book.top_relational(spark.createDataFrame(odd, schema)).collect()}
+    assert tops == {1: (0,) * 6, 2: (0, 0, 0, 50, 1, 200), 3: (0,) * 6}
