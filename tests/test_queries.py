@@ -28,3 +28,9 @@ def test_query(spark, name):
     assert sorted(names) == columns
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=str)
     assert rows == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in want.fetchall()), key=str)
+
+
+def test_crosscheck_without_joins_by_ranges(spark):
+    """Events that meet every level of their symbol's day grow with the square of the day."""
+    plan = QUERIES["tob_crosscheck"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not [line for line in plan.splitlines() if "Join" in line and "<" in line.replace("<=>", "")]
