@@ -75,23 +75,33 @@ def own_locates(messages: DataFrame) -> DataFrame:
 def deltas(messages: DataFrame) -> DataFrame:
     """trade_date, locate, side, price, off, dq, dn: what each message adds to or takes from a price level.
 
-    For feeds without anomalies. A message acts on its order's own locate, side and price.
+    For feeds without anomalies. A message acts on its order's own locate, side and price. What is left of an order is
+    told from its reference's running sum, in the window that tells its life; only orders that a replace made are joined
+    with their chain's first one.
     """
-    rows = written(lives(messages), "lives")
-    life = W.partitionBy("trade_date", "made").orderBy("off", F.col("k") != "c").rowsBetween(W.unboundedPreceding, 0)
-    change = F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares"))
-    of = rows.filter("made is not null").drop("locate", "side").join(origins(rows), ["trade_date", "made"])
-    of = of.select("trade_date", "off", "k", "shares", "locate", "side", F.first("price", ignorenulls=True).over(life).alias("price"), F.sum(F.coalesce(change, F.lit(0))).over(life).alias("s"))
-    dq = F.when(F.col("k") == "c", F.col("shares")).when(F.col("k") == "r", -F.col("shares")).otherwise(-F.col("s"))
-    dn = F.when(F.col("k") == "c", 1).when((F.col("k") == "k") | (F.col("s") == 0), -1).otherwise(0)
-    return of.select("trade_date", "locate", "side", "price", "off", dq.alias("dq"), dn.cast("long").alias("dn"))
+    k = F.col("k")
+    life = W.partitionBy("trade_date", "ref").orderBy("off", k == "c").rowsBetween(W.unboundedPreceding, 0)
+    change = F.when(k == "c", F.col("shares")).when(k == "r", -F.col("shares"))
+    rows = lives(messages).withColumn("sum", F.sum(F.coalesce(change, F.lit(0))).over(life))
+    born = F.struct("locate", "side", "price", F.col("type").alias("by"), (F.col("sum") - F.coalesce("shares", F.lit(0))).alias("before"))
+    rows = rows.withColumn("born", F.last(F.when((k == "c") & F.col("off").isNotNull(), born), ignorenulls=True).over(life)).filter("made is not null")
+    s = F.col("sum") - F.col("born.before")
+    dq = F.when(k == "c", F.col("shares")).when(k == "r", -F.col("shares")).otherwise(-s)
+    dn = F.when(k == "c", 1).when((k == "k") | (s == 0), -1).otherwise(0)
+    rows = written(rows.select("trade_date", "off", "k", "type", "made", "born.by", "born.locate", "born.side", "born.price", dq.alias("dq"), dn.cast("long").alias("dn")), "lives")
+    cells = ["trade_date", "locate", "side", "price", "off", "dq", "dn"]
+    first = rows.filter("k = 'c' and by <> 'U'").select("trade_date", F.col("made").alias("root"), "locate", "side")
+    of = chain_roots(rows).join(first, ["trade_date", "root"]).select("trade_date", "made", "locate", "side")
+    replaced = rows.filter("by = 'U'").drop("locate", "side").join(of, ["trade_date", "made"]).select(cells)
+    return rows.filter("by <> 'U' and trade_date is not null").select(cells).unionByName(replaced)
 
 
 def level_depth(messages: DataFrame) -> DataFrame:
     """Running quantity and orders of every price level after every message that touches it."""
-    touched = deltas(messages).groupBy("trade_date", "locate", "side", "price", "off").agg(F.sum("dq").alias("dq"), F.sum("dn").alias("dn"))
-    w = W.partitionBy("trade_date", "locate", "side", "price").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-    return touched.select("trade_date", "locate", "side", "price", "off", F.sum("dq").over(w).alias("qty"), F.sum("dn").over(w).alias("orders"))
+    w = W.partitionBy("trade_date", "locate", "side", "price").orderBy("off")
+    upto = w.rangeBetween(W.unboundedPreceding, 0)  # with all that its message changes
+    rows = deltas(messages).select("trade_date", "locate", "side", "price", "off", F.sum("dq").over(upto).alias("qty"), F.sum("dn").over(upto).alias("orders"), F.lead(F.struct("off")).over(w).alias("next"))
+    return rows.filter("next is null or not next.off <=> off").drop("next")
 
 
 def depth_snapshot(messages: DataFrame) -> DataFrame:
@@ -142,6 +152,7 @@ class Book:
         self.orders: dict[int, list[int]] = {}  # ref -> side, price, shares
         self.levels: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})  # price -> qty, orders
         self.heaps: tuple[list[int], list[int]] = ([], [])  # signed prices; dead ones are dropped when seen
+        self.tops: list[tuple[int, int, int] | None] = [None, None]  # what `best` found, while it holds
 
     def add(self, ref: int, side: int, shares: int, price: int) -> str:
         if shares == 0:
@@ -149,6 +160,9 @@ class Book:
         if ref in self.orders:
             return "duplicate_order"
         self.orders[ref] = [side, price, shares]
+        top = self.tops[side]
+        if top is not None and (not top[1] or (price <= top[0] if side else price >= top[0])):
+            self.tops[side] = None
         level = self.levels[side].get(price)
         if level is None:
             self.levels[side][price] = [shares, 1]
@@ -166,6 +180,9 @@ class Book:
         side, price, left = order
         over = shares is not None and shares > left
         take = left if shares is None or over else shares
+        top = self.tops[side]
+        if top is not None and price == top[0]:
+            self.tops[side] = None
         level = self.levels[side][price]
         level[0] -= take
         order[2] -= take
@@ -192,14 +209,26 @@ class Book:
         return self.reduce(ref, None) if kind == "D" else self.replace(ref, new_ref, shares, price)
 
     def best(self, side: int) -> tuple[int, int, int]:
-        heap, levels = self.heaps[side], self.levels[side]
-        while heap:
-            price = heap[0] if side else -heap[0]
-            if price in levels:
-                qty, orders = levels[price]
-                return price, orders, qty
-            heapq.heappop(heap)
-        return 0, 0, 0
+        top = self.tops[side]
+        if top is None:
+            heap, levels, top = self.heaps[side], self.levels[side], (0, 0, 0)
+            while heap:
+                price = heap[0] if side else -heap[0]
+                if price in levels:
+                    qty, orders = levels[price]
+                    top = price, orders, qty
+                    break
+                heapq.heappop(heap)
+            self.tops[side] = top
+        return top
+
+
+NONE = 1 << 40  # a day or locate that is null
+
+
+def plain(column: pa.Array, null: int) -> list[int]:
+    """Whole numbers as a list, by numpy: `to_pylist` takes longer than the fold itself."""
+    return column.fill_null(null).to_numpy(zero_copy_only=False).tolist()
 
 
 FOLD = pa.schema([("trade_date", pa.date32()), ("locate", pa.int32()), ("off", pa.int64()), ("ts_ns", pa.int64()), ("anomaly", pa.string()), ("live", pa.int64()), *((c, pa.int64()) for c in TOP)])
@@ -215,26 +244,36 @@ def replay(messages: DataFrame, num_locates: int | None = None, changes: bool =
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, book, last = None, Book(), (0,) * 6
+        on, at, book, last = None, None, Book(), ((0, 0, 0), (0, 0, 0))
         for batch in batches:
-            out: list[list] = [[] for _ in FOLD]
-            add = [c.append for c in out]
-            numbers = [batch.column(k).fill_null(0).to_pylist() for k in range(5, 10)]
-            for day, locate, off, ts, kind, *v in zip(*(batch.column(k).to_pylist() for k in range(5)), *numbers):
-                if (day, locate) != key:
-                    key, book, last = (day, locate), Book(), (0,) * 6
-                ref, new_ref, side, shares, price = v
+            keep, odds, live, bids, asks = [], [], [], [], []
+            days, locates = (plain(batch.column(k).cast(pa.int32()).cast(pa.int64()), NONE) for k in (0, 1))
+            kinds = batch.column(4).dictionary_encode()
+            names = kinds.dictionary.to_pylist()
+            numbers = [plain(batch.column(k), 0) for k in range(5, 10)]
+            for row, (day, locate, kind, ref, new_ref, side, shares, price) in enumerate(zip(days, locates, plain(kinds.indices, 0), *numbers)):
+                kind = names[kind]
+                if locate != at or day != on:
+                    on, at, book, last = day, locate, Book(), ((0, 0, 0), (0, 0, 0))
                 if num_locates is not None and locate >= num_locates and kind in "AF" and shares:
                     odd = "bad_locate"
                 else:
                     odd = book.apply(kind, ref, new_ref, side, shares, price)
-                top = (*book.best(0), *book.best(1))
-                if changes and top == last:
-                    continue
-                last = top
-                for f, x in zip(add, (day, locate, off, ts, odd, len(book.orders), *top)):
-                    f(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, FOLD)], schema=FOLD)
+                bid, ask = book.best(0), book.best(1)
+                if changes:
+                    if (bid, ask) == last:
+                        continue
+                    last = bid, ask
+                    keep.append(row)
+                odds.append(odd)
+                live.append(len(book.orders))
+                bids.append(bid)
+                asks.append(ask)
+            same = batch.select([0, 1, 2, 3])
+            same = same.take(pa.array(keep, pa.int64())) if changes else same
+            tops = [list(c) for side in (bids, asks) for c in zip(*side)] or [[]] * 6
+            cells = [*(c.cast(t) for c, t in zip(same.columns, FOLD.types)), *map(pa.array, (odds, live, *tops), FOLD.types[4:])]
+            yield pa.RecordBatch.from_arrays(cells, schema=FOLD)
 
     needed = messages.filter(F.col("type").isin(*BOOK)).select("trade_date", "locate", "off", "ts_ns", "type", "ref", "new_ref", "side", "shares", "price")
     schema = "trade_date date, locate int, off long, ts_ns long, anomaly string, live long, " + ", ".join(f"{c} long" for c in TOP)

@@ -181,3 +181,27 @@ def test_relational_top_on_many_levels(spark):
     odd = [(at, 1, "A", 1, 1, None, 1, 100, None), (at, 2, "A", 1, 2, None, 1, 200, 50), (at, 3, "A", None, 3, None, 0, 100, 40)]  # a level without a price is none
     tops = {r["off"]: tuple(r[c] for c in book.TOP) for r in book.top_relational(spark.createDataFrame(odd, schema)).collect()}
     assert tops == {1: (0,) * 6, 2: (0, 0, 0, 50, 1, 200), 3: (0,) * 6}
+
+
+def test_fold_on_odd_feeds(spark):
+    """Every row of the fold, and its changes alone, against a book fed message by message: anomalies, days, null locates and fields."""
+    import datetime
+    import random
+
+    rng, model, out, want, tops = random.Random(11), {}, [], [], {}
+    for off in range(1, 3000):
+        at, locate, kind = datetime.date(2024, 1, rng.choice((2, 3))), rng.choice((1, 2, 2, 9, None)), rng.choice("AAFECXDU")
+        ref, new, side, shares, price = rng.randrange(40), rng.randrange(40), rng.randrange(2), rng.choice((None, 0, 1, 2, 3, 1 << 60)), rng.choice((None, 0, 95, 96, 97))
+        b = model.setdefault((at, locate), book.Book())
+        bad = locate in (None, 9) and kind in "AF" and shares
+        odd = "bad_locate" if bad else b.apply(kind, ref, new, side, shares or 0, price or 0)
+        out.append((at, off, kind, locate, off, ref, new, side, shares, price))
+        levels = [{p: q for p, q in b.levels[s].items() if q[1]} for s in (0, 1)]
+        best = [(max, min)[s](levels[s]) if levels[s] else None for s in (0, 1)]
+        top = tuple(x for s in (0, 1) for x in ((best[s], levels[s][best[s]][1], levels[s][best[s]][0]) if levels[s] else (0, 0, 0)))
+        want.append((at, locate, off, off, odd, len(b.orders), *top, top != tops.get((at, locate), (0,) * 6)))
+        tops[at, locate] = top
+    m = spark.createDataFrame(out, "trade_date date, off long, type string, locate int, ts_ns long, ref long, new_ref long, side int, shares long, price long")
+    assert rows(book.replay(m, num_locates=9)) == sorted((w[:-1] for w in want), key=str)
+    assert rows(book.replay(m, num_locates=9, changes=True)) == sorted((w[:-1] for w in want if w[-1]), key=str)
+    assert len({w[4] for w in want}) == 6

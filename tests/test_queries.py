@@ -34,3 +34,15 @@ def test_crosscheck_without_joins_by_ranges(spark):
     """Events that meet every level of their symbol's day grow with the square of the day."""
     plan = QUERIES["tob_crosscheck"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and not [line for line in plan.splitlines() if "Join" in line and "<" in line.replace("<=>", "")]
+
+
+def test_crosscheck_makes_messages_once(spark):
+    """Both books read messages that were written; neither makes them from the events again."""
+    files = QUERIES["tob_crosscheck"](spark, SF).inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
+
+
+def test_depth_joins_replaced_orders_alone(spark):
+    """What is left of an order, its price and side come from one window; only what replaces made meets their chains' first orders."""
+    plan = QUERIES["level_running_depth"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 2
