@@ -14,7 +14,7 @@ from ..functions.wire import BOOK
 from ..scratch import drop, written
 
 KEY = ["trade_date", "locate"]
-FAN = 16  # levels or winners that meet in one round of `side_tops`
+FAN = 62  # levels or winners that meet in one round of `side_tops`: bits of a long
 TOP = ["bid_px", "bid_orders", "bid_qty", "ask_px", "ask_orders", "ask_qty"]
 
 
@@ -110,28 +110,42 @@ def depth_snapshot(messages: DataFrame) -> DataFrame:
 
 
 def side_tops(levels: DataFrame) -> DataFrame:
-    """trade_date, locate, side, off, orders, price, qty: the best level of a side after every message that changes it; orders is 0 while it is empty.
+    """trade_date, locate, side, off, orders, price, qty: the best level of a side after every message that touches it or makes another one best; orders is 0 while it is empty.
 
-    A tournament over ranks of prices: each round joins FAN neighbours, of which the best with orders wins, and only
-    changes of the winner go on. Rows only get fewer, and log(prices) rounds are needed, each a window over the changes.
+    A tournament over ranks of prices: in each round FAN neighbours meet, of which the best with orders wins. A running
+    sum has a bit for each neighbour with orders, so its lowest bit is the winner; where that is not the neighbour just
+    touched, the winner's last row is asked for. Only rows of winners go on, at most one a message, and log(prices)
+    rounds are needed.
     """
-    levels = written(levels.filter("side in (0, 1) and price is not null and locate is not null"), "levels")
+    levels = levels.filter("side in (0, 1) and price is not null and locate is not null").withColumn("live", (F.col("orders") > 0).cast("long"))
+    flip = F.col("live") - F.coalesce(F.lag("live").over(W.partitionBy(*KEY, "side", "price").orderBy("off")), F.lit(0))
+    levels = written(levels.withColumn("flip", flip).drop("live"), "levels")
     ranks = levels.select(*KEY, "side", "price").distinct()
     by = W.partitionBy(*KEY, "side").orderBy(F.when(F.col("side") == 0, -F.col("price")).otherwise(F.col("price")))
     ranks = written(ranks.withColumn("node", (F.row_number().over(by) - 1).cast("long")), "ranks")
     most = ranks.agg(F.max("node")).first()[0] or 0
-    rows = levels.join(ranks, [*KEY, "side", "price"]).select(*KEY, "side", "node", "off", F.struct("orders", "price", "qty").alias("s"))
+    values = F.struct(F.col("off").alias("at"), "orders", "price", "qty")
+    rows = levels.join(ranks, [*KEY, "side", "price"]).select(*KEY, "side", "node", "off", "flip", values.alias("v"))
+    group = W.partitionBy(*KEY, "side", "up").orderBy("off")
+    own = W.partitionBy(*KEY, "side", "up", "slot").orderBy("off", "asked").rowsBetween(W.unboundedPreceding, 0)
     while True:
-        w = W.partitionBy(*KEY, "side", "up").orderBy("off", "slot")
-        rows = rows.select(*KEY, "side", F.floor(F.col("node") / FAN).alias("up"), (F.col("node") % FAN).alias("slot"), "off", "s")
-        slots = [F.last(F.when(F.col("slot") == k, F.col("s")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) for k in range(FAN)]
-        rows = rows.select(*KEY, "side", "up", "slot", "off", F.lead("off").over(w).alias("next"), *[c.alias(f"s{k}") for k, c in enumerate(slots)])
-        won = F.coalesce(*[F.when(F.col(f"s{k}.orders") > 0, F.col(f"s{k}")) for k in range(FAN)], F.struct(F.lit(0).cast("long").alias("orders"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("qty")))
-        rows = rows.filter("next is null or next <> off").select(*KEY, "side", "up", "slot", "off", won.alias("s"))
-        rows = rows.withColumn("was", F.lag("s").over(w)).filter("not s <=> was").select(*KEY, "side", F.col("up").alias("node"), "off", "s")
+        rows = rows.select(*KEY, "side", F.floor(F.col("node") / FAN).alias("up"), (F.col("node") % FAN).cast("int").alias("slot"), "off", "flip", "v")
+        rows = rows.withColumn("mask", F.sum(F.expr("shiftleft(flip, slot)")).over(group.rangeBetween(W.unboundedPreceding, 0)))
+        rows = rows.withColumn("best", F.expr("CASE WHEN mask = 0 THEN -1 ELSE bit_count((mask & -mask) - 1) END"))
+        rows = rows.withColumn("was", F.coalesce(F.lag("best").over(group), F.lit(-1))).withColumn("before", F.lag("off").over(group))
+        touched = F.expr("struct(slot, 0 AS asked, best = slot AS wins, v)")
+        asked = F.expr("struct(best AS slot, 1 AS asked, true AS wins, CAST(NULL AS struct<at: bigint, orders: bigint, price: bigint, qty: bigint>) AS v)")
+        other = F.expr("best <> slot AND best <> was AND (before IS NULL OR before <> off)")
+        rows = rows.select(*KEY, "side", "up", "off", F.inline(F.when(other, F.array(touched, asked)).otherwise(F.array(touched))))
+        rows = rows.withColumn("v", F.last("v", ignorenulls=True).over(own)).filter("wins and (asked = 0 or not v.at <=> off)")
+        cells = [F.coalesce(f"v.{c}", F.lit(0).cast("long")).alias(c) for c in ("orders", "price", "qty")]
+        rows = rows.select(*KEY, "side", F.col("up").alias("node"), "off", *cells)
         if most < FAN:
-            return rows.select(*KEY, "side", "off", "s.*")
+            return rows.drop("node")
         most //= FAN
+        live = (F.col("orders") > 0).cast("long")
+        flip = live - F.coalesce(F.lag(live).over(W.partitionBy(*KEY, "side", "node").orderBy("off")), F.lit(0))
+        rows = rows.select(*KEY, "side", "node", "off", flip.alias("flip"), values.alias("v"))
 
 
 def top_relational(messages: DataFrame) -> DataFrame:
